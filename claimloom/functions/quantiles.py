@@ -9,19 +9,22 @@ BUCKET = 100
 """Currency units per coarse bucket: at most 10 000 distinct cent values each."""
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], amount: str, probabilities: dict[str, float]) -> DataFrame:
-    """One row per key with the named discrete quantiles of ``amount`` (NULLs ignored).
-
-    Rank selection over a two-level histogram. Values are pre-counted per (key, value), which
-    spreads any hot key; a running count over the coarse buckets finds the bucket holding each
-    rank, and only that bucket's values are ordered. Both windows are bounded by the value
-    range, not by the number of rows.
-    """
-    counted = (
+def count_amounts(rows: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """Rows per (key, amount), NULL amounts left out: a hot key spreads over its amounts."""
+    return (
         rows.where(F.col(amount).isNotNull())
         .groupBy(*keys, F.floor(F.col(amount) / BUCKET).alias("__b"), F.col(amount).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+
+
+def quantiles_of_counts(counted: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """One row per key with the named discrete quantiles of already counted amounts.
+
+    Rank selection over a two-level histogram: a running count over the coarse buckets finds
+    the bucket holding each rank, and only that bucket's values are ordered. Both windows are
+    bounded by the value range, not by the number of rows.
+    """
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     buckets = (
         counted.groupBy(*keys, "__b")
@@ -49,8 +52,14 @@ def exact_quantiles(rows: DataFrame, keys: list[str], amount: str, probabilities
     inside = Window.partitionBy(*keys, "__b", "__name").orderBy("__v")
     picked = (
         counted.join(ranks, same, "inner")
+        .groupBy(*keys, "__b", "__name", "__rank", "__v").agg(F.sum("__n").alias("__n"))
         .withColumn("__upto", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__n") < F.col("__rank")))
     )
     outputs = [F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in probabilities]
     return picked.groupBy(*keys).agg(*outputs) if keys else picked.agg(*outputs)
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], amount: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row per key with the named discrete quantiles of ``amount`` (NULLs ignored)."""
+    return quantiles_of_counts(count_amounts(rows, keys, amount), keys, probabilities)

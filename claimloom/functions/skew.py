@@ -49,22 +49,21 @@ def lookup_totals(
         *[F.col(v).alias(f"__c_{v}") for v in values],
         F.lit(0).alias("__c_spread"),
     )
-    first = rows.join(F.broadcast(hot), _all(same(F.col(k), F.col(f"__h_{k}")) for k in keys), "left")
     settled = F.col(f"__h_{size}").isNotNull()
     if not null_safe:
         settled = settled | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    first = first.withColumn(
-        "__spread", F.when(settled, 1 + F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD)).cast("int")).otherwise(0)
-    )
-    # Plain equality on a coalesced text keeps the null-safe form a hash-partitionable equi-join.
-    joined = first.join(
-        cold,
-        (F.col("__spread") == F.col("__c_spread")) & _all(same(F.col(k), F.col(f"__c_{k}")) for k in keys),
-        "left",
-    )
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"__h_{v}"), F.col(f"__c_{v}")).alias(v) for v in values],
+    spread = F.when(settled, 1 + F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD)).cast("int")).otherwise(0)
+    return (
+        rows.join(F.broadcast(hot), _all(same(F.col(k), F.col(f"__h_{k}")) for k in keys), "left")
+        .join(
+            cold,
+            (spread == F.col("__c_spread")) & _all(same(F.col(k), F.col(f"__c_{k}")) for k in keys),
+            "left",
+        )
+        .select(
+            *[F.col(c) for c in rows.columns],
+            *[F.coalesce(F.col(f"__h_{v}"), F.col(f"__c_{v}")).alias(v) for v in values],
+        )
     )
 
 
@@ -81,17 +80,13 @@ def enrich(
     threshold and shuffles otherwise. Missing and sentinel keys cannot match, so they get
     their own join values and do not pile up in one partition of the shuffled form.
     """
-    values = [c for c in dim.columns if c != key]
-    right = dim.select(F.col(key).alias("__dim_key"), *values)
+    right = dim.withColumnRenamed(key, "__dim_key")
     lost = F.col(key).isNull()
     if sentinel is not None:
         lost = lost | (F.col(key) == sentinel)
     spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(F.col(spread_by)), F.lit(_SPREAD)).cast("string"))
-    return (
-        rows.withColumn("__row_key", F.when(lost, spread).otherwise(F.col(key)))
-        .join(right, F.col("__row_key") == F.col("__dim_key"), "left")
-        .drop("__row_key", "__dim_key")
-    )
+    row_key = F.when(lost, spread).otherwise(F.col(key))
+    return rows.join(right, row_key == F.col("__dim_key"), "left").drop("__dim_key")
 
 
 def number_within(
@@ -111,14 +106,20 @@ def number_within(
     the rows in earlier slices. Any bounds give the exact numbering, so the approximation
     only decides how evenly the work is split.
     """
-    sized = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(position, [i / slices for i in range(1, slices)], 1000).alias("__cuts"))
+    sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    is_key = _all(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)
+    hot_keys = sized.where(F.col("__n") >= hot_rows).select(*named)
+    # Only hot keys are sketched; with none, the adaptive plan drops this branch.
+    hot = (
+        rows.withColumn("__pos", position)
+        .join(F.broadcast(hot_keys), is_key, "inner")
+        .groupBy(*[f"__k_{k}" for k in keys])
+        .agg(F.percentile_approx("__pos", [i / slices for i in range(1, slices)], 1000).alias("__cuts"))
     )
-    hot = sized.where(F.col("__n") >= hot_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts")
     sliced = (
         rows.withColumn("__pos", position)
-        .join(F.broadcast(hot), _all(F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys), "left")
+        .join(F.broadcast(hot), is_key, "left")
         .withColumn(
             "__slice",
             F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(
