@@ -174,11 +174,15 @@ def standard_claims(claims: DataFrame, order: list[str]) -> DataFrame:
     return cleaned.withColumn("billed_amount", negative_to_null(parse_amount("billed_amount")))
 
 
-def silver_claims(claims: DataFrame, clean_providers: DataFrame, order: list[str]) -> DataFrame:
+def silver_claims(standard: DataFrame, clean_providers: DataFrame) -> DataFrame:
+    """Flags, imputation, sentinels, region and first risk score of standardised claims.
+
+    ``standard`` is read three times (rows, group medians, overall median): pass a table, not
+    the deduplication itself.
+    """
     from claimloom.operators.risk import pre_risk_score
 
-    flagged = flag_missing(standard_claims(claims, order))
-    imputed = impute_median(flagged, "procedure_code", ["billed_amount"])
+    imputed = impute_median(flag_missing(standard), "procedure_code", ["billed_amount"])
     filled = fill(imputed, ["diagnosis_code", "procedure_code", "provider_id"], fixed.UNKNOWN_CODE)
     return recover_region(filled, clean_providers).withColumn("pre_risk_score", pre_risk_score())
 

@@ -19,7 +19,7 @@ class Entry:
 
 
 MODULES = [
-    "quality",
+    "quality", "reports", "clean", "risk", "features",
 ]
 _LATER = [
     "sources", "quality", "reports", "clean", "risk", "features", "models", "policy", "adjudicate", "history", "streams",

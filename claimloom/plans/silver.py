@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from claimloom.operators import clean, features, risk
 from claimloom.sources.scratch import written
-from claimloom.sources.star import ClaimStar
+from claimloom.sources.star import CLAIM_COLUMNS, ClaimStar
 
 AS_OF = datetime.date(2001, 10, 1)
 COPY_ORDER = ["row_key"]
@@ -32,9 +32,16 @@ class Medallion:
     def cost(self) -> DataFrame:
         return written(clean.silver_cost(self.star.cost), "silver_cost")
 
+    @cached_property
+    def standard(self) -> DataFrame:
+        """Deduplicated claims, written once: the medians and the rows then scan a table
+        instead of repeating the deduplication shuffle."""
+        columns = [c for c in self.star.claims.columns if c in CLAIM_COLUMNS]
+        return written(clean.standard_claims(self.star.claims, COPY_ORDER).select(*columns), "standard_claims")
+
     @cached_property
     def claims(self) -> DataFrame:
-        return clean.silver_claims(self.star.claims, self.providers, COPY_ORDER)
+        return clean.silver_claims(self.standard, self.providers)
 
     @cached_property
     def scored(self) -> DataFrame:
