@@ -19,7 +19,7 @@ class Entry:
 
 
 MODULES = [
-    "quality", "reports", "clean", "risk", "features",
+    "quality", "reports", "clean", "risk", "features", "adjudicate",
 ]
 _LATER = [
     "sources", "quality", "reports", "clean", "risk", "features", "models", "policy", "adjudicate", "history", "streams",
