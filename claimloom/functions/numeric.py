@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def half_up(value: Column, places: int) -> Column:
     """Round a double half away from zero; the integer floor keeps ``-0.0`` out."""
     scale = float(10**places)
-    return F.when(value >= 0, F.floor(value * scale + 0.5)).otherwise(-F.floor(-value * scale + 0.5)) / F.lit(scale)
+    return F.when(value >= 0, F.lit(1)).otherwise(F.lit(-1)) * F.floor(F.abs(value) * scale + 0.5) / F.lit(scale)
 
 
 def exact_sum(amount: Column) -> Column:

@@ -19,7 +19,7 @@ class Entry:
 
 
 MODULES = [
-    "quality", "reports", "clean", "risk", "features", "adjudicate",
+    "quality", "reports", "clean", "risk", "features", "adjudicate", "history", "policy",
 ]
 _LATER = [
     "sources", "quality", "reports", "clean", "risk", "features", "models", "policy", "adjudicate", "history", "streams",

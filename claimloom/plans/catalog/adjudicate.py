@@ -261,7 +261,7 @@ FROM b LEFT JOIN m1 ON b.c = m1.c LEFT JOIN m2 ON b.claim_id = m2.claim_id""",
     ),
     Entry(
         "V15_ranked_reasons",
-        lambda s: scored_claims(s).select(*KEYS, F.inline("reasons")).drop("policy_text", "policy_source"),
+        lambda s: written(scored_claims(s).select(*KEYS, "reasons"), "reasons").select(*KEYS, F.inline("reasons")).drop("policy_text", "policy_source"),
         query(chain() + "SELECT claim_id, row_key, rank, f AS feature, explanation, i AS impact_score FROM rk WHERE rank <= 3", *TABLES),
     ),
     Entry(
