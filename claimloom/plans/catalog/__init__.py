@@ -19,9 +19,6 @@ class Entry:
 
 
 MODULES = [
-    "quality", "reports", "clean", "risk", "features", "adjudicate", "history", "policy", "models",
-]
-_LATER = [
     "sources", "quality", "reports", "clean", "risk", "features", "models", "policy", "adjudicate", "history", "streams",
 ]
 
