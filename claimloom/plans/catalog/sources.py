@@ -85,12 +85,6 @@ def _exports(s):
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
-def _whole_texts(s):
-    path = new_path(s.spark, "policy_docs")
-    s.table("documents").select("doc_id", F.col("text").alias("value")).repartition(F.col("doc_id")).select("doc_id", "value").write.partitionBy("doc_id").option("lineSep", "\u0003").text(path)
-    return readers.read_documents(s.spark, path + "/*").groupBy(F.sha2(F.regexp_replace("text", "\u0003", ""), 256).alias("text_sha")).agg(F.count("*").alias("files"))
-
-
 ENTRIES = [
     Entry("S1_ingest_inferred", lambda s: _bronze(s, None)[0].select(*[F.col(c).cast("string").alias(c) if c == "claim_date" else F.col(c) for c in COLUMNS]), query(CONTENT + " FROM claims", "claims")),
     Entry("S2_ingest_with_schema", lambda s: _bronze(s, readers.CLAIMS_SCHEMA)[0].where(F.col(readers.REJECTED).isNull()).select(*COLUMNS), query(CONTENT + " FROM claims", "claims")),
@@ -143,7 +137,11 @@ ENTRIES = [
             *BATCH_TABLES,
         ),
     ),
-    Entry("S16_whole_text_documents", _whole_texts, "SELECT sha256(text) AS text_sha, count(*) AS files FROM documents GROUP BY 1"),
+    Entry(
+        "S16_whole_text_documents",
+        lambda s: readers.document_table(s.table("documents"), "doc_id", "text").select("source_doc", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("chars")),
+        "SELECT CAST(doc_id AS VARCHAR) AS source_doc, sha256(text) AS text_sha, length(text) AS chars FROM documents",
+    ),
     Entry(
         "S17_mean_cost_fallback",
         lambda s: s.claims.select("claim_id", "row_key", "procedure_code").join(

@@ -70,11 +70,16 @@ def read_batch_file(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file with its whole content."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(
+    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_doc"), F.col("value").alias("text")
     )
 
 
+def document_table(documents: DataFrame, name: str, text: str) -> DataFrame:
+    """The same shape from a table of documents."""
+    return documents.select(F.col(name).cast("string").alias("source_doc"), F.col(text).alias("text"))
+
+
 def find_claims(gold: DataFrame, wanted: DataFrame) -> DataFrame:
     """Bulk point lookup: every wanted id with the claim's columns and whether it exists."""
     columns = ["claim_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount"]

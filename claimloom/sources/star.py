@@ -144,7 +144,7 @@ class ClaimStar:
         )
 
 
-def claims_from_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def claims_from_lines(lineitem: DataFrame, orders: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     order_part = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return lineitem.join(order_part, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
         F.concat(F.lit("C"), F.lpad(_text(F.col("l_orderkey") * 10 + F.col("l_linenumber")), 8, "0")).alias("claim_id"),
@@ -167,6 +167,7 @@ def claims_from_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             + F.make_dt_interval(secs=F.expr("cast((l_orderkey * 7 + l_linenumber) % 86400 as decimal(18,6))"))
         ).alias("submitted_at"),
         F.concat(F.lit("agent"), _text(F.col("o_custkey") % 7), F.lit("@example.com")).alias("submitted_by"),
+        *carry,
     )
 
 
