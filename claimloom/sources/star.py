@@ -71,10 +71,14 @@ class ClaimStar:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return spread_small(self.table("lineitem"))
+
     @cached_property
     def claims(self) -> DataFrame:
         """One row per submitted claim line, claim ids repeat; gaps are NULL."""
-        return claims_from_lines(self.table("lineitem"), self.table("orders"))
+        return claims_from_lines(self.lines, self.table("orders"))
 
     @cached_property
     def providers(self) -> DataFrame:
@@ -101,7 +105,7 @@ class ClaimStar:
     @cached_property
     def cost(self) -> DataFrame:
         """Benchmarks per procedure: mean billed amount of its lines, never more than 58 rows."""
-        return cost_from_lines(self.table("lineitem"), self.table("region"))
+        return cost_from_lines(self.lines, self.table("region"))
 
     @cached_property
     def policies(self) -> DataFrame:
@@ -144,6 +148,17 @@ class ClaimStar:
         )
 
 
+SMALL_SCAN = 64
+"""Scans of at least this many partitions are never spread: the shuffle stays under a few GB."""
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores, such as one file
+    with one row group; large tables come back unchanged."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_SCAN)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def claims_from_lines(lineitem: DataFrame, orders: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     order_part = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return lineitem.join(order_part, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
