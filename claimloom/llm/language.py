@@ -27,7 +27,7 @@ NGRAM = 3
 #: Sharpness of the score, a softmax of the cosines.
 SHARPNESS = 20.0
 #: A text whose best cosine is lower resembles no learned language.
-LEAST_SIMILARITY = 0.1
+LEAST_SIMILARITY = 0.05
 #: More labelled languages than this are an error, so that the prototypes stay small.
 MOST_LANGUAGES = 5000
 UNKNOWN = "und"
