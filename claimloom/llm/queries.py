@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, language
+from claimloom.llm import decontaminate, jaccard, language, personal
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out_of_fold.alias("held_out"), "lang_pred", "score", "similarity", "rejected")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.found(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    counts = {k: F.size(k).cast("long").alias(f"n_{k}") for k in [*personal.BASE, *personal.ADDED]}
+    return found.select(
+        "doc_id", *(counts[k] for k in personal.BASE), F.sha2(personal.digest(personal.BASE), 256).alias("base_sha256"),
+        personal.digest([*personal.BASE, *personal.ADDED]).alias("spans"), *(counts[k] for k in personal.ADDED),
+    )
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"), "doc_id", "text", size=3, percent=90)
 
@@ -79,5 +88,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
-SQL = {"op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {"op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
+SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
