@@ -118,9 +118,13 @@ def found(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({kind: spans(whole, kind) for kind in [*BASE, *ADDED]})
 
 
+def _listed(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+
 def digest(kinds: list[str]) -> Column:
     """kind:start:end of every span, by kind, then start, joined with commas."""
-    return F.array_join(F.flatten(F.array(*[F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds])), ",")
+    return F.array_join(F.flatten(F.array(*[_listed(k) for k in kinds])), ",")
 
 
 def redacted(text: str, kind: str) -> Column:
