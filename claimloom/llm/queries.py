@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, language, personal
+from claimloom.llm import decontaminate, jaccard, language, personal, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"), "doc_id", "text", size=3, percent=90)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out_of_fold = language.held_out(F.col("doc_id"), 4, 2)
+    learned = quality.model(_table(spark, sf_dir, "labels").where(~out_of_fold), docs, "doc_id", "text", "quality")
+    scored = quality.scored(docs, "text", learned)
+    return scored.select("doc_id", out_of_fold.alias("held_out"), "score", quality.predicted().alias("predicted"), "difference")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.marked(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select(
@@ -88,5 +96,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
+QUERIES = {"op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
 SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
