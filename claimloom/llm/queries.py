@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, language, personal, quality
+from claimloom.llm import decontaminate, jaccard, language, personal, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out_of_fold.alias("held_out"), "lang_pred", "score", "similarity", "rejected")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = secrets.forest(secrets.labelled_by_format(secrets.candidates(docs, "text", "source")))
+    found = secrets.judged(docs, "text", "source", model)
+    return found.select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.found(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     counts = {k: F.size(k).cast("long").alias(f"n_{k}") for k in [*personal.BASE, *personal.ADDED]}
@@ -96,5 +103,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
 SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
