@@ -69,13 +69,21 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.data, self.start, self.end = data, edges[0::2], edges[1::2]
         powers, inverse = _powers(1 << max(22, int(len(data)).bit_length()))
-        sums = np.cumsum(_byte_values()[data] * powers[: len(data)])
-        self.hash = mix((sums[self.end - 1] - sums[self.start - 1]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums, self._inverse = np.cumsum(_byte_values()[data] * powers[: len(data)]), inverse
+        self.hash = self._hashed(self.start, self.end)
         first = np.searchsorted(self.start, self.text_start)
         #: Words of text i are first[i]:first[i + 1].
         self.first = np.concatenate((first, [len(self.start)]))
         self.count = np.diff(self.first)
 
+    def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end - 1] - self._sums[start - 1]) * self._inverse[start] + (end - start).astype(np.uint64))
+
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are longer than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        longer = np.flatnonzero(self.end - self.start > size)
+        return longer, self._hashed(self.start[longer], self.start[longer] + size)
+
 
 def spaced() -> np.ndarray:
     """Words are runs without space, tab, line or page ends."""
