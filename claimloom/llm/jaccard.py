@@ -7,14 +7,14 @@ Documents with equal shingle sets are one set. Sets are taken through these step
 2. The remaining sets are shingled once more, and their shingles counted. A set that shares too few
    shingles at all leaves. The others put theirs in order, rarest first; linked sets have one of the
    rarest in common (the prefix).
-3. Similar sets are grouped: each is compared with the most central set of its prefix shingles, and what
-   links forms a group.
+3. Similar sets are grouped: each is compared with the most central set of its prefix shingles, joins the
+   one it is most similar to, and that one in turn its own. The most central set of a group is its pivot.
 4. The token-group matrix holds which shingles each group's union has. Every set's overlap with every
-   other group is bounded by it; only groups that reach the needed overlap are opened, and the set is compared
-   with those of the members that share a prefix shingle.
+   other group is bounded by it; only groups that reach the needed overlap are opened, as if the set were a member.
+5. In a group, sets are looked up by the shingles in which they differ from the pivot (see ``_within``), and compared.
 
 What a shingle or a set is known by is a 64-bit hash. Hot shingles are counted before the shuffle and
-joined, never gathered; a large group of near copies becomes one group in step 3 and isn't compared within itself.
+joined, never gathered; what links with the pivot of a large group of near copies isn't compared with each other.
 """
 
 from __future__ import annotations
@@ -81,12 +81,15 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
+    """a, b, their sizes na and nb and how much they have in ``common``; ``more`` may use their shared shingles ta and tb."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"), *more)
+
+
+def _similar(percent: int) -> Column:
+    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
 
 
 def _shared_sets(signed: DataFrame, percent: int) -> DataFrame:
@@ -114,28 +117,82 @@ def _candidates(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Da
     return kept.select("key", "n", F.transform("t", lambda t: t.token).alias("tokens"), prefix.alias("prefix"), (F.size("t") / F.col("n")).alias("shared"))
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what the join connects: steps 3 and 4."""
-    looked_up = written(sets.select("key", "n", "shared", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefixes")
+def _stars(looked_up: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every set compared with the most central set that has one of its prefix shingles."""
     central = looked_up.groupBy("token").agg(F.max(F.struct("shared", "n", "key")).alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    central = central.select("token", F.col("c.key").alias("b"), F.col("c.n").alias("nb"))
-    pairs = looked_up.join(central, "token").where((F.col("key") != F.col("b")) & _near("n", "nb", percent))
-    first = written(_linked(pairs.select(F.col("key").alias("a"), "b").distinct(), sets, percent), "links")
-    groups = components(first, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("found"))
-    grouped = looked_up.select("key", "n", "token").join(groups, "key", "left").select("key", "n", "token", F.coalesce("found", "key").alias("grp"))
-    several = grouped.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
-    grouped = written(grouped.join(several, "token", "left_semi"), "grouped")
-    matrix = grouped.select("token", F.col("grp").alias("other")).distinct()
-    met = written(grouped.join(matrix, "token").where("grp <> other").select("key", "n", "other").distinct(), "met")
-    members = sets.join(groups, "key", "left").select("tokens", F.coalesce("found", "key").alias("other"))
-    union = members.join(met.select("other").distinct(), "other", "left_semi").select("other", F.explode("tokens").alias("token")).distinct()
+    pairs = looked_up.join(central.select("token", F.col("c.key").alias("b")), "token").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    return written(_compared(pairs, sets), "stars")
+
+
+def _groups(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n, pivot: sets grouped with the most similar central set, that one in turn with its own; the most central is the pivot."""
+    best = stars.groupBy("a").agg(F.max(F.struct(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), "b")).alias("m")).select("a", "m.b")
+    found = components(best, "a", "b").withColumnRenamed("node", "key")
+    named = sets.select("key", "n", "shared").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    pivots = named.groupBy("component").agg(F.max(F.struct("shared", "n", "key")).alias("p")).select("component", F.col("p.key").alias("pivot"))
+    return written(named.join(pivots, "component").select("key", "n", "pivot"), "groups")
+
+
+def _opened(looked_up: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Sets and the pivots of other groups whose union has enough of the set's shingles."""
+    rows = looked_up.select("token", "key").join(grouped, "key")
+    several = rows.groupBy("token").agg(F.min("pivot").alias("x"), F.max("pivot").alias("y")).where("x <> y").select("token")
+    rows = written(rows.join(several, "token", "left_semi"), "grouped")
+    matrix = rows.select("token", F.col("pivot").alias("other")).distinct()
+    met = written(rows.join(matrix, "token").where("pivot <> other").select("key", "n", "other").distinct(), "met")
+    members = grouped.select("key", F.col("pivot").alias("other")).join(met.select("other").distinct(), "other", "left_semi")
+    union = members.join(sets.select("key", F.explode("tokens").alias("token")), "key").select("other", "token").distinct()
     asked = met.join(sets.select("key", "tokens"), "key").select("key", "n", "other", F.explode("tokens").alias("token"))
     overlap = asked.join(union, ["other", "token"]).groupBy("key", "n", "other").count()
-    opened = overlap.where(F.col("count") >= F.floor((F.col("n") * percent + 99) / 100)).select("key", "other")
-    right = grouped.select(F.col("key").alias("b"), F.col("n").alias("nb"), "token", F.col("grp").alias("other"))
-    rest = grouped.select("key", "n", "token").join(opened, "key").join(right, ["token", "other"])
-    rest = rest.where((F.col("key") < F.col("b")) & _near("n", "nb", percent)).select(F.col("key").alias("a"), "b").distinct()
-    return first.unionByName(_linked(rest, sets, percent))
+    return overlap.where(F.col("count") >= F.floor((F.col("n") * percent + 99) / 100)).select(F.col("key").alias("a"), F.col("other").alias("b"))
+
+
+def _within(against: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a group's sets that may be linked, from what each has apart from the pivot (its difference).
+
+    If a isn't linked with the pivot, a linked b shares s elements of the differences with it; s is bounded from below
+    for either side, so that the rarest ``size - s + 1`` of each difference have one in common. Two sets that are both linked with the pivot
+    are connected and not looked at.
+    """
+    q, r = 100 - percent, 100 + percent
+    elements = against.select("a", "b", F.explode("apart").alias("token"))
+    counts = elements.groupBy("b", "token").count().where("count > 1")
+    lists = elements.join(counts, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
+    d = F.col("na") + F.col("nb") - 2 * F.col("common")
+    rows = against.join(lists, ["a", "b"], "left").withColumn("t", F.coalesce(F.transform("t", lambda x: x.token), F.array().cast("array<bigint>")))
+    rows = rows.withColumn("d", d).withColumn("alone", F.col("d") - F.size("t") - F.col("pivot_alone"))
+    least_any = F.greatest(F.lit(1), F.floor((r * F.col("d") + q * (F.col("nb") - F.col("na"))) / (2 * r)) + 1)
+    least_unlinked = F.greatest(F.lit(1), F.col("d") - F.floor(q * F.col("na") / percent))
+
+    def side(rows: DataFrame, least: Column, name: str) -> DataFrame:
+        length = (F.col("d") - least + 1 - F.col("alone")).cast("int")
+        taken = F.slice("t", F.lit(1), F.greatest(length, F.lit(0)))
+        # what only the pivot has is apart from every set: the last in order, one entry stands for all
+        last = F.when((length > F.size("t")) & (F.col("pivot_alone") > 0), F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        return rows.select("b", F.col("a").alias(name), F.col("na").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), F.explode(F.concat(taken, last)).alias("token")).withColumn(
+            "token", F.coalesce("token", F.lit(0))
+        )
+
+    left, right = side(rows.where(~_similar(percent)), least_unlinked, "x"), side(rows, least_any, "y")
+    met = left.join(right, ["b", "token"]).where((F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y", percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what the join connects: steps 3 to 5."""
+    looked_up = written(sets.select("key", "n", "shared", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefixes")
+    stars = _stars(looked_up, sets)
+    grouped = _groups(stars, sets)
+    pairs = grouped.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    pairs = pairs.unionByName(_opened(looked_up, grouped, sets, percent).where("a <> b")).distinct()
+    apart = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
+    against = written(_compared(pairs, sets, apart.alias("apart"), (F.col("nb") - F.size("tb")).alias("pivot_alone")), "apart")
+    first = written(stars.where(_similar(percent)).select("a", "b").unionByName(against.where(_similar(percent)).select("a", "b")), "links")
+    found = components(first, "a", "b").withColumnRenamed("node", "a")
+    rows = against.join(found, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    several = rows.groupBy("b").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("b")
+    rest = _compared(_within(written(rows.join(several, "b", "left_semi"), "apart"), percent), sets).where(_similar(percent))
+    return first.unionByName(rest.select("a", "b"))
 
 
 def joined(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
