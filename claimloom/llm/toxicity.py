@@ -26,7 +26,8 @@ BITS = 22
 BEGINNINGS = (4, 5, 6)
 #: Sampled texts that must have a feature for it to get a weight.
 SUPPORT = 3
-PENALTY = 3e-4
+#: Of the selection of features, and of the second fit, of the selected ones alone, which undoes most of the shrinking.
+PENALTY, PENALTY_AGAIN = 2e-4, 1e-5
 STEPS = 400
 GRADES = 4
 
@@ -59,6 +60,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int) -> Model:
+    """Select features under a strong penalty, then fit again with those under a weak one."""
+    first = _fit(doc, feature, grade, weight, grades, PENALTY)
+    kept = np.isin(feature, first.features)
+    return _fit(doc[kept], feature[kept], grade, weight, grades, PENALTY_AGAIN)
+
+
+def _fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, penalty: float) -> Model:
     """Proximal gradient with momentum. doc, feature: the ones of a 0/1 matrix; grade and weight by document."""
     names, col = np.unique(feature, return_inverse=True)
     support = np.bincount(col) >= SUPPORT
@@ -82,7 +90,7 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, weight: np.ndar
         p = np.maximum(a - b, 1e-12)
         da, db = share * a * (1 - a) / p, share * b * (1 - b) / p
         to = y - step * np.bincount(col, (da - db)[doc], len(names))
-        new = np.sign(to) * np.maximum(np.abs(to) - step * PENALTY, 0)
+        new = np.sign(to) * np.maximum(np.abs(to) - step * penalty, 0)
         slope = np.bincount(grade, da, grades)[:-1] - np.bincount(grade, db, grades)[1:]
         theta = np.maximum.accumulate(theta + np.clip(2.0 * slope, -0.5, 0.5) + np.arange(grades - 1) * 1e-9)
         ahead = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
