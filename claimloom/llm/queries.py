@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, language, packing, personal, quality, secrets, toxicity
+from claimloom.llm import decontaminate, jaccard, language, neighbours, packing, personal, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out_of_fold.alias("held_out"), "score", quality.predicted().alias("predicted"), "difference")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.marked(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select(
@@ -114,5 +119,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
+QUERIES = {"op9_nearest_neighbours": op9_nearest_neighbours, "op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
 SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
