@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, language, neighbours, packing, personal, quality, secrets, toxicity
+from claimloom.llm import chat, decontaminate, jaccard, language, neighbours, packing, personal, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out_of_fold = language.held_out(F.col("doc_id"), 3, 1)
@@ -119,5 +123,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op9_nearest_neighbours": op9_nearest_neighbours, "op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_chat_format": op1_chat_format, "op9_nearest_neighbours": op9_nearest_neighbours, "op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination}
 SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
