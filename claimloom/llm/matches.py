@@ -29,24 +29,36 @@ def _running(x: Column, first: Column) -> Column:
     return F.aggregate(x, init, add, lambda acc: acc["out"])
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: str, only_if: Column) -> Column:
     """All leftmost non-overlapping matches, as an array of MATCH; empty where ``only_if`` isn't true.
 
     The pattern must not match the empty text.
     """
-    rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    n = F.size(found)
-    joined = F.zip_with(
-        F.zip_with(F.slice(gaps, F.lit(1), n), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        F.slice(gaps, F.lit(2), n),
-        lambda x, after: F.struct(
-            F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("size"), x["m"].alias("value"), F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after")
-        ),
-    )
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(joined, b * _BLOCK + 1, F.lit(_BLOCK)))
-    return F.when(only_if & (n > 0), _offset(blocks)).otherwise(F.array().cast(f"array<{MATCH}>"))
+    none = F.array().cast(f"array<{MATCH}>")
+
+    def placed(both: Column) -> Column:
+        n = F.size(both["m"])
+        joined = F.zip_with(
+            F.zip_with(F.slice(both["g"], F.lit(1), n), both["m"], lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
+            F.slice(both["g"], F.lit(2), n),
+            lambda x, after: F.struct(
+                F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("size"), x["m"].alias("value"), F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after")
+            ),
+        )
+        return F.when(n > 0, _once(joined, lambda rows: _once(_blocks(rows), _offset))).otherwise(none)
+
+    return F.when(only_if, _once(F.struct(found.alias("m"), gaps.alias("g")), placed)).otherwise(none)
+
+
+def _blocks(rows: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
 
 
 def _offset(blocks: Column) -> Column:

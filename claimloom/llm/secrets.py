@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.matches import matches
+from claimloom.sources.scratch import written
 
 #: Labelled findings that the forest is fitted on, at most: those first by a hash of the row.
 ROWS = 20_000
@@ -87,7 +88,7 @@ def _features(m: Column, path: Column) -> Column:
 def candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     """``docs`` with the array candidates: start, end (code points), value, before, after, f (the features)."""
     whole, where = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    found = matches(whole, CANDIDATE, F.lit(True))
+    found = matches(whole, CANDIDATE, whole.rlike("[0-9=]|AKIA[A-Z]"))
     return docs.withColumn("candidates", F.transform(found, lambda m: m.withField("f", _features(m, where))))
 
 
@@ -106,6 +107,7 @@ def labelled_by_format(found: DataFrame) -> DataFrame:
 
 def forest(labelled: DataFrame):
     """Fit on labelled findings (value, f, y): at most ROWS of each label. None without findings of both labels."""
+    labelled = written(labelled.select("value", "f", "y"), "labelled")
     parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("value", "f"), "value").limit(ROWS) for y in (0.0, 1.0)]
     rows = reduce(DataFrame.unionByName, parts).select("y", *(F.col("f")[i].alias(n) for i, n in enumerate(FEATURES))).coalesce(1)
     if rows.select("y").distinct().count() < 2:
