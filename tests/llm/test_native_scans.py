@@ -1,0 +1,85 @@
+"""Personal data and secrets: spans against plain regular expressions, and plans without Python."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from claimloom.llm import personal, secrets
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return 9 <= len(digits) <= 15 if kind == "phone" else True
+
+
+def _texts():
+    rng = random.Random(5)
+    bits = ["a@b.c", "x_y@z-1.co.uk", "@", "1.2.3.4", "999.1.2.3.4", "01.002.0003.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "+1 (988) 555-2485", "+1", "é", "ñ ", " ", "-", ".", "12", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    return texts + ["a" * 50_000, "1" * 50_000, "1 " * 30_000, "a@b.c " * 700 + "é1.2.3.4", "", None, "😀 a@b.cd 😀 1.2.3.4", "a@b.cd_e@f.gh", "+1-" * 3000]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    texts = _texts()
+    table = spark.createDataFrame([(i, t, 1.5, "z") for i, t in enumerate(texts)], "doc_id long, text string, email double, before string")
+    for r in personal.found(table, "text").collect():
+        for kind, pattern in PLAIN.items():
+            want = [(m.start(), m.end()) for m in re.finditer(pattern, texts[r.doc_id] or "") if _valid(kind, m[0])]
+            assert [(s.start, s.end) for s in r[kind]] == want, (kind, (texts[r.doc_id] or "")[:80])
+    assert personal.found(table.limit(0), "text").collect() == []
+
+
+def test_added_kinds_need_their_checksum_or_context(spark):
+    texts = ["my IBAN DE89 3704 0044 0532 0130 00 here", "DE89370400440532013001", "ssn: 078-05-1120", "no. 078-05-1120", "social security 000-05-1120"]
+    rows = personal.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").orderBy("doc_id").collect()
+    assert [(len(r.iban), len(r.ssn)) for r in rows] == [(1, 0), (0, 0), (0, 1), (0, 0), (0, 0)]
+    assert rows[0].iban[0].value == "DE89 3704 0044 0532 0130 00"
+    assert rows[0].iban[0].score > personal.PRIOR["iban"]
+
+
+def _key(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_the_forest_keeps_secrets_and_drops_other_candidates(spark):
+    rng, rows = random.Random(1), []
+    for i in range(400):
+        kind = i % 5
+        value = [_key(rng, "0123456789abcdef", 40), "AKIA" + _key(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), _key(rng, "0123456789", 16), f"page-{i}-of-1000", _key(rng, "0123456789abcdef", 18)][kind]
+        text = [f'é set token = "{value}" now', f"the {value} was", f"number {value} is", f"see {value} and", f"password={value} ok"][kind]
+        rows.append((i, text, f"src{i % 3}", kind in (0, 1, 4)))
+    rows += [(1000, None, None, False), (1001, "", "a", False), (1002, "word " * 20_000, "a", False), (1003, rows[0][1], "a", True), (1003, rows[0][1], "a", True)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, has boolean").withColumn("candidates", F.lit(1))
+    model = secrets.forest(secrets.labelled_by_format(secrets.candidates(table.where("doc_id < 300"), "text", "source")))
+    found = secrets.judged(table, "text", "source", model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+    out = found.withColumn("clean", secrets.redacted("text")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        kept = [x for x in r.findings if x.secret]
+        assert bool(kept) == r.has, r
+        for x in kept:
+            assert r.text[x.start : x.end] not in r.clean and "[SECRET]" in r.clean
+        if not kept:
+            assert r.clean == r.text
+    assert secrets.judged(table.limit(0), "text", "source", None).collect() == []
+    assert secrets.forest(secrets.labelled_by_format(secrets.candidates(table.limit(0), "text", "source"))) is None
+    byformat = secrets.judged(table, "text", "source", None).select("doc_id", F.exists("findings", lambda x: x["secret"]).alias("s"), "has").where("s <> has").count()
+    assert byformat == 0
