@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
+from pyspark.sql import SparkSession
+
 from claimloom.plans import catalog
 from claimloom.session import build_session
 
@@ -23,7 +26,11 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session("claimloom-bench", f"local[{cores}]", cores)
+    with tempfile.TemporaryDirectory(prefix="claimloom-bench-") as shared:
+        timed(build_session("claimloom-bench", f"local[{cores}]", cores, shared), folder)
+
+
+def timed(spark: SparkSession, folder: str) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     runs = {e.name: catalog.runner(e) for e in catalog.entries()}
     runs["Q2_range_checks"](spark, folder).collect()

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def half_up(value: Column, places: int) -> Column:
-    """Round a double half away from zero; the integer floor keeps ``-0.0`` out."""
+    """Round a double half away from zero; the integer floor keeps ``-0.0`` out.
+
+    From 2^53 steps on, a double has no finer places and stays.
+    """
     scale = float(10**places)
-    return F.when(value >= 0, F.lit(1)).otherwise(F.lit(-1)) * F.floor(F.abs(value) * scale + 0.5) / F.lit(scale)
+    rounded = F.when(value >= 0, F.lit(1)).otherwise(F.lit(-1)) * F.floor(F.abs(value) * scale + 0.5) / F.lit(scale)
+    return F.when(F.abs(value) * scale >= float(2**53), value.cast("double")).otherwise(rounded)
 
 
 def exact_sum(amount: Column) -> Column:

@@ -65,20 +65,29 @@ def stratified_folds(df: DataFrame, folds: int = 5, label: str = "denial_flag",
 
 
 def with_class_weight(df: DataFrame, label: str = "denial_flag") -> DataFrame:
-    """Balanced weights: rows / (2 × rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(label, "__label")
-    total = df.agg(F.count(F.lit(1))).scalar()
+    """Balanced weights: training rows / (2 × training rows of the class). Held-out rows get theirs from the training rows too."""
+    counts = df.where("is_train").groupBy(label).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(label, "__label")
+    total = df.where("is_train").agg(F.count(F.lit(1))).scalar()
     return df.join(F.broadcast(counts), F.col(label) == F.col("__label"), "left").withColumn(
         "weight", total / (F.col("__n") * 2.0)
     ).drop("__n", "__label")
 
 
+def with_validation(df: DataFrame, label: str = "denial_flag", share: float = 0.9) -> DataFrame:
+    """Marks the last tenth, by hash order, of each class's training rows: boosted trees stop early by them."""
+    placed = df.withColumn("__place", hash_place(F.col("claim_id"), "inner"))
+    cuts = _cuts(placed.where("is_train"), "__place", label, {"__cut": share})
+    return (
+        placed.join(F.broadcast(cuts), F.col(label) == F.col("__label"), "left")
+        .withColumn("is_validation", F.col("is_train") & (F.col("__place") > F.col("__cut"))).drop("__place", "__cut", "__label")
+    )
+
+
 def training_frame(gold: DataFrame, folds: int = 5) -> DataFrame:
     """Gold features as doubles with split, fold, weight and a validation mark for early stopping."""
     typed = gold.select("claim_id", *[F.col(f).cast("double").alias(f) for f in fixed.FEATURES], "denial_flag")
-    framed = stratified_folds(stratified_split(typed), folds)
-    inner = stratified_split(framed.drop("is_train"), share=0.9, salt="inner").select("claim_id", (~F.col("is_train")).alias("is_validation"))
-    return with_class_weight(framed).join(inner, "claim_id").withColumn("label", F.col("denial_flag").cast("double"))
+    framed = with_validation(stratified_folds(stratified_split(typed), folds))
+    return with_class_weight(framed).withColumn("label", F.col("denial_flag").cast("double"))
 
 
 @dataclass
@@ -90,6 +99,8 @@ class Candidate:
     grid: dict[str, list] = field(default_factory=dict)
     scaled: bool = False
     early_stop: bool = False
+    #: Inverse strength of the penalty over all rows together; Spark's is per row.
+    inverse_penalty: float | None = None
 
 
 def candidates() -> list[Candidate]:
@@ -97,7 +108,7 @@ def candidates() -> list[Candidate]:
     boost = {"maxDepth": [3, 4, 5, 6], "stepSize": [0.03, 0.05, 0.1], "subsamplingRate": [0.6, 0.7, 0.8, 1.0], "maxIter": [50, 100, 200], "minInstancesPerNode": [1, 3, 5, 7]}
     leafy = {"maxDepth": [5, 7, 9], "stepSize": [0.03, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 1.0], "maxIter": [50, 100, 200], "minInstancesPerNode": [10, 20, 40]}
     return [
-        Candidate("logistic_regression", LogisticRegression(featuresCol="features", maxIter=100, regParam=1e-4, **common), {}, scaled=True),
+        Candidate("logistic_regression", LogisticRegression(featuresCol="features", maxIter=100, **common), {}, scaled=True, inverse_penalty=1.0),
         Candidate(
             "random_forest", RandomForestClassifier(featuresCol="features", seed=SEED, **common),
             {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "0.5"], "minInfoGain": [0.0, 0.001], "subsamplingRate": [0.8, 1.0]},
@@ -134,6 +145,8 @@ def search(candidate: Candidate, train: DataFrame, n_draws: int, folds: int = 5,
     Boosted trees refit with a validation share that stops them early.
     """
     estimator = candidate.estimator.copy()
+    if candidate.inverse_penalty:
+        estimator.setParams(regParam=1 / (candidate.inverse_penalty * max(1, train.count())))
     pipeline = _pipeline(candidate, estimator)
     settings = draws(candidate.grid, n_draws)
     maps = [{estimator.getParam(k): v for k, v in setting.items()} for setting in settings] or ParamGridBuilder().build()
@@ -198,23 +211,28 @@ def class_report(predictions: DataFrame, label: str = "label", prediction: str =
     return rows[0].unionAll(rows[1])
 
 
-def area_under_curve(predictions: DataFrame, score: str, label: str = "label", places: int = 4) -> DataFrame:
-    """ROC AUC from counts per rounded score: the window sees at most 10^places + 1 rows."""
-    counts = predictions.groupBy(half_up(F.col(score), places).alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum((F.col("pos") * F.col("lower")).cast("double") + F.col("pos") * F.col("neg") * 0.5)
+AUC_BUCKETS = 4096
+
+
+def area_under_curve(predictions: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """Exact ROC AUC: counts per distinct score, summed up within score buckets and over the buckets."""
+    counts = predictions.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    counts = counts.withColumn("bucket", F.floor(F.col("s") * AUC_BUCKETS))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy("bucket").agg(F.sum("neg").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    inside = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(buckets, "bucket")
+    wins = F.sum((F.col("pos") * (F.col("lower") + F.col("below"))).cast("double") + F.col("pos") * F.col("neg") * 0.5)
     return ranked.agg(half_up(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")), 6).alias("roc_auc"))
 
 
 def evaluate(fitted: Fitted, test: DataFrame) -> DataFrame:
     """One leaderboard row of a fitted model on held-out claims."""
     scored = predict(fitted.model, test)
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="p_approved").evaluate(scored)
+    auc = area_under_curve(scored, "p_approved").scalar()
     gap = F.lit(fitted.cv_f1) - F.col("f1")
     return classification_metrics(scored).select(
-        F.lit(fitted.name).alias("model"), F.lit(auc).alias("roc_auc"), "f1", "precision", "recall", "accuracy", F.lit(fitted.cv_f1).alias("cv_f1"),
+        F.lit(fitted.name).alias("model"), auc.alias("roc_auc"), "f1", "precision", "recall", "accuracy", F.lit(fitted.cv_f1).alias("cv_f1"),
         gap.alias("overfit_gap"), F.when(F.abs(gap) < 0.05, "healthy").otherwise("check").alias("gap_status"),
     )
 

@@ -130,7 +130,7 @@ ENTRIES = [
         "M9_roc_auc",
         lambda s: m.area_under_curve(_rule_predictions(s), "p_approved"),
         query(
-            PREDICTED + f", s AS (SELECT {half_up('p_approved', 4)} AS s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM q GROUP BY 1),"
+            PREDICTED + ", s AS (SELECT p_approved AS s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM q GROUP BY 1),"
             " r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM s) SELECT "
             + half_up("sum(CAST(pos AS DOUBLE) * lower + CAST(pos AS DOUBLE) * neg * CAST(0.5 AS DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))", 6) + " AS roc_auc FROM r",
             "all_features",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "claimloom", master: str | None = None, cores: int = 8) -> SparkSession:
+def build_session(app: str = "claimloom", master: str | None = None, cores: int = 8, shared: str | None = None) -> SparkSession:
+    """``shared``: the folder for intermediate tables, one that all machines see."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -14,6 +15,8 @@ def build_session(app: str = "claimloom", master: str | None = None, cores: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if master:
         builder = (
             builder.master(master)

@@ -3,22 +3,39 @@
 A table that several branches of a plan read is written once and read back: the branches
 scan pruned parquet columns instead of repeating the work, and a lost executor re-reads
 files instead of recomputing the chain.
+
+The folder is the one in ``spark.checkpoint.dir``, which all machines of a cluster share. Where it is unset, a
+local session, whose driver and tasks share one disk, gets a folder that is removed when Python ends; any other
+session is refused.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="claimloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
@@ -31,3 +48,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove what this library has written under the shared folder; for the end of a job that has the folder to itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/claimloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

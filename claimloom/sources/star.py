@@ -73,7 +73,7 @@ class ClaimStar:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return spread_small(self.table("lineitem"))
+        return self.table("lineitem")
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -148,17 +148,6 @@ class ClaimStar:
         )
 
 
-SMALL_SCAN = 64
-"""Scans of at least this many partitions are never spread: the shuffle stays under a few GB."""
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores, such as one file
-    with one row group; large tables come back unchanged."""
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_SCAN)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
-
-
 def claims_from_lines(lineitem: DataFrame, orders: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     order_part = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return lineitem.join(order_part, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(

@@ -11,8 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("claimloom-tests", "local[4]", 4)
+def spark(tmp_path_factory):
+    session = build_session("claimloom-tests", "local[4]", 4, str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
