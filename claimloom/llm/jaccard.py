@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one set. Sets are taken through these steps, each exact:
 
 1. Of the hashes a set has, the smallest few are looked up; two linked sets have a known number of
-   those in common, so sets that share fewer with any other set leave here.
+   those in common, so sets that share fewer with other sets leave here.
 2. The remaining sets are shingled once more, and their shingles counted. A set that shares too few
    shingles at all leaves. The others put theirs in order, rarest first; linked sets have one of the
    rarest in common (the prefix).
@@ -40,39 +40,63 @@ def _slack(n):
     return n // 10 + 1
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list[np.ndarray], list[int]]]:
-    """For a block of rows: what identifies them, their shingles, and the hash of each set."""
-    blobs, ids = encoded(batch.column(1).to_pylist()), batch.column(0).to_pylist()
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """For a block of rows: its range, their shingles, and the hash of each set (0 of an empty one)."""
+    blobs = encoded(batch.column(1).to_pylist())
     for a, b in blocks(blobs):
         found = shingles(Words(blobs[a:b], spaced()), size)
-        keys = [int((mix(s).sum() + np.uint64(len(s))).view(np.int64)) if len(s) else 0 for s in found]
-        yield ids[a:b], found, keys
+        yield a, b, found, np.array([int((mix(s).sum() + np.uint64(len(s))).view(np.int64)) if len(s) else 0 for s in found], np.int64)
 
 
-def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, found, keys in _sets(batch, size):
-                n = [len(s) for s in found]
-                least = [s[: x - _need(x, percent) + _slack(x)].view(np.int64) for s, x in zip(found, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["id", "n", "key", "least"]
-                )
+            for a, b, found, keys in _sets(batch, size):
+                n = pa.array([len(s) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, pa.array(keys)], names=["id", "n", "key"])
 
-    return docs.mapInArrow(sign, "id bigint, n bigint, key bigint, least array<bigint>")
+    return docs.mapInArrow(sign, "id bigint, n bigint, key bigint")
+
+
+def _least(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """token, key, known: the smallest shingles of every text, summed up before the shuffle.
+
+    A shingle that several sets of a block have is known to be shared: each of the texts gets a row (key as token) with how many
+    of such it has, and only two rows with known = 0 go on for others to meet. The rest have known = -1.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, found, keys in _sets(batch, size):
+                parts = [s[: len(s) - _need(len(s), percent) + _slack(len(s))] if len(s) else s for s in found]
+                tokens, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                if not len(tokens):
+                    continue
+                names, at = np.unique(tokens, return_inverse=True)
+                low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+                np.minimum.at(low, at, keys[owner])
+                np.maximum.at(high, at, keys[owner])
+                several = low != high
+                local = np.bincount(owner[several[at]], minlength=len(parts))
+                credited = np.flatnonzero(local)
+                rest = ~several[at]
+                token = np.concatenate((tokens[rest].view(np.int64), names[several].view(np.int64), names[several].view(np.int64), keys[credited]))
+                key = np.concatenate((keys[owner[rest]], low[several], high[several], keys[credited]))
+                known = np.concatenate((np.full(rest.sum(), -1), np.zeros(2 * several.sum()), local[credited])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(known)], names=["token", "key", "known"])
+
+    return docs.mapInArrow(emit, "token bigint, key bigint, known int")
 
 
 def _shingled(docs: DataFrame, size: int) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(2).to_pylist()
-            at = 0
-            for ids, found, keys in _sets(batch, size):
-                keep = [i for i, k in enumerate(keys) if k == wanted[at + i]]
-                at += len(ids)
+            for a, _, found, keys in _sets(batch, size):
+                keep = [i for i, k in enumerate(keys) if k == wanted[a + i]]
                 if keep:
                     tokens = pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep]), pa.array([len(found[i]) for i in keep], pa.int64()), tokens], names=["key", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array([len(found[i]) for i in keep], pa.int64()), tokens], names=["key", "n", "tokens"])
 
     return docs.mapInArrow(whole, "key bigint, n bigint, tokens array<bigint>")
 
@@ -92,27 +116,36 @@ def _similar(percent: int) -> Column:
     return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
 
 
-def _shared_sets(signed: DataFrame, percent: int) -> DataFrame:
-    """Distinct sets (key, n, id of one document) that may be linked with another: step 1."""
-    one = F.min(F.struct("id", "least"))
-    sets = signed.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(one.alias("one")).select("key", "n", "one.id", "one.least")
-    sets = written(sets, "sets")
-    tokens = sets.select("key", F.explode("least").alias("token"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    found = tokens.join(shared, "token", "left_semi").groupBy("key").count()
+def _shared_sets(rows: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Distinct sets (key, n, id of one document) that may be linked with another: step 1.
+
+    Copies each have their set's shared shingles, so counts are divided by the number of copies.
+    """
+    tokens = _least(rows.where("id IS NOT NULL"), size, percent).repartition("token")
+    owner = F.when(F.col("known") <= 0, F.col("key"))
+    shared = tokens.groupBy("token").agg(F.min(owner).alias("x"), F.max(owner).alias("y")).where("x <> y").select("token", F.lit(1).alias("met"))
+    credit = F.when(F.col("known") > 0, F.col("known")).when((F.col("known") < 0) & F.col("met").isNotNull(), 1).otherwise(0)
+    found = tokens.join(shared, "token", "left").groupBy("key").agg(F.sum(credit).alias("count")).where("count > 0")
     needed = F.floor(F.floor((F.col("n") * percent + 99) / 100) / 10) + 1
-    return sets.select("key", "n", "id").join(found, "key").where(F.col("count") >= needed).select("key", "n", "id")
+    sets = signed.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    return sets.join(found, "key").where(F.col("count") >= needed * F.col("rows")).select("key", "n", "id")
+
+
+#: Ids are put in so many slots to keep texts that no set needs from being shuffled; the join by id is exact.
+SLOTS = 1 << 20
 
 
 def _candidates(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """key, n, tokens (shared ones, rarest first), prefix (how many of them are looked up): step 2."""
-    texts = docs.join(sets, "id").select("id", "text", "key")
-    full = written(_shingled(texts, size).dropDuplicates(["key"]), "shingles")
-    tokens = full.select("key", "n", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").count().where("count > 1")
-    lists = tokens.join(counts, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    slots = F.broadcast(sets.select(slot.alias("slot")).distinct())  # SLOTS rows at most
+    texts = docs.withColumn("slot", slot).join(slots, "slot", "left_semi").join(sets.select("id", "key"), "id").select("id", "text", "key")
+    full = written(_shingled(texts, size), "shingles")
+    tokens = full.select("key", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").count().where("count > 1").select("token", F.col("count").cast("int").alias("count"))
+    lists = tokens.join(counts, "token").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("count", "token"))).alias("t"))
     need = F.floor((F.col("n") * percent + 99) / 100)
-    kept = lists.where(F.size("t") >= need)
+    kept = lists.join(sets.select("key", "n"), "key").where(F.size("t") >= need)
     prefix = (F.size("t") - need + 1).cast("int")
     return kept.select("key", "n", F.transform("t", lambda t: t.token).alias("tokens"), prefix.alias("prefix"), (F.size("t") / F.col("n")).alias("shared"))
 
@@ -204,8 +237,8 @@ def joined(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int
     without an id has a null component and links nothing. Repeated rows are exact copies. An empty table gives none.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = written(_signatures(rows, size, percent), "signatures")
-    shared = _shared_sets(signed, percent)
+    signed = written(_signatures(rows, size), "signatures")
+    shared = written(_shared_sets(rows, signed, size, percent), "shared_sets")
     candidates = written(_candidates(rows, shared, size, percent), "candidates")
     groups = components(written(_links(candidates, percent), "links"), "a", "b")
     # equal sets are known by their smallest id, groups of sets by the smallest of those
