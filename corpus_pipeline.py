@@ -32,8 +32,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
     groups = jaccard.joined(docs, "doc_id", "text", SHINGLE, SIMILAR)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # ids in slots that no such id has stay without a shuffle of their texts
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(jaccard.SLOTS))
+    slots = F.broadcast(gone.select(slot.alias("slot")).distinct())
+    marked = docs.withColumn("slot", slot)
+    kept = marked.join(slots, "slot", "left_anti").select(docs.columns)
+    return kept.unionByName(marked.join(slots, "slot", "left_semi").join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
