@@ -24,19 +24,34 @@ def _long(one_row: DataFrame, structs: list[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*structs)).alias("__e")).select("__e.*")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """Rows, nulls, approximate distinct count, smallest and largest value of every column."""
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def amount_profile(df: DataFrame, column: str) -> DataFrame:
+    """Count, mean, standard deviation, extremes and exact quartiles of an amount: one row."""
+    value = F.col(column).cast("double")
+    stats = df.agg(
+        F.lit(column).alias("column_name"), F.count(column).alias("rows"), exact_avg(F.col(column), 4).alias("mean"),
+        half_up(F.stddev_samp(value), 4).alias("stddev"), F.min(value).alias("smallest"), F.max(value).alias("largest"),
+    )
+    quartiles = exact_quantiles(df, [], column, QUARTILES).select(*[F.col(n).cast("double").alias(n) for n in QUARTILES], F.lit(column).alias("column_name"))
+    return stats.join(quartiles, "column_name", "left")
+
+
+def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Rows, nulls, distinct count (approximate unless ``exact``), smallest and largest value of every column."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     wide = df.agg(
         _total().alias("rows"),
         *[F.count(c).alias(f"n_{c}") for c in df.columns],
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in df.columns],
+        *[distinct(c).alias(f"d_{c}") for c in df.columns],
         *[F.min(c).cast("string").alias(f"lo_{c}") for c in df.columns],
         *[F.max(c).cast("string").alias(f"hi_{c}") for c in df.columns],
     )
     entries = [
         F.struct(
             F.lit(c).alias("column_name"), F.col("rows"), (F.col("rows") - F.col(f"n_{c}")).alias("null_count"),
-            F.col(f"d_{c}").alias("approx_distinct"), F.col(f"lo_{c}").alias("smallest"), F.col(f"hi_{c}").alias("largest"),
+            F.col(f"d_{c}").alias("distinct_count"), F.col(f"lo_{c}").alias("smallest"), F.col(f"hi_{c}").alias("largest"),
         )
         for c in df.columns
     ]
@@ -182,8 +197,10 @@ def code_format(df: DataFrame, column: str) -> DataFrame:
 
 
 def code_format_samples(df: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """The first few rows, by claim, whose code is missing or badly written."""
     code = F.col(column)
-    return df.where(code.rlike("[a-z]") | (code != F.trim(code))).select("claim_id", column).limit(n)
+    wrong = code.isNull() | code.rlike("[a-z]") | (code != F.trim(code))
+    return df.where(wrong).select("claim_id", "row_key", column).orderBy("claim_id", "row_key").limit(n)
 
 
 def key_coverage(fact: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
@@ -199,6 +216,13 @@ def key_coverage(fact: DataFrame, dim: DataFrame, key: str, name: str) -> DataFr
     )
 
 
+def key_overlap(fact: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys that both sides have, and rows of the fact table that have one of them."""
+    rows = fact.groupBy(key).agg(_total().alias("__rows"))
+    both = rows.join(dim.select(key).distinct(), key, "inner")
+    return both.agg(F.lit(name).alias("dimension"), _total().alias("shared_keys"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("matched_rows"))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

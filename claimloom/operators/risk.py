@@ -177,6 +177,8 @@ def wide_claims(
             "claim_age_days": claim_age(F.col("claim_date"), as_of),
             "is_diagnosis_missing": (F.col("diagnosis_code") == fixed.UNKNOWN_CODE).cast("int"),
             "is_procedure_missing": (F.col("procedure_code") == fixed.UNKNOWN_CODE).cast("int"),
+            "_silver_timestamp": F.current_timestamp(),
+            "_silver_layer": F.lit("silver"),
         }
     )
     return final.select(*fixed.WIDE_CLAIM_COLUMNS)

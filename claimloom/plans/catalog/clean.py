@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import fixed_values as fixed
 from claimloom.operators import clean as c
 from claimloom.plans.catalog import Entry
 from claimloom.plans.silver import AS_OF, COPY_ORDER, Medallion
@@ -128,6 +129,18 @@ ENTRIES = [
         lambda s: Medallion(s).claims.select("claim_id", "provider_location", "recovered_region", "is_total_blackout"),
         query("SELECT claim_id, provider_location, recovered_region, is_total_blackout FROM silver_claims", "silver_claims"),
     ),
+    Entry(
+        "C11_final_region",
+        lambda s: c.enrich(
+            Medallion(s).claims.select("claim_id", "procedure_code", "provider_location"),
+            Medallion(s).cost.select("procedure_code", F.col("region").alias("cost_region")), "procedure_code", "claim_id", fixed.UNKNOWN_CODE,
+        ).select("claim_id", c.final_region(F.col("cost_region"), F.col("provider_location")).alias("final_region")),
+        query(
+            "SELECT claim_id, coalesce(co.region, provider_location, 'Unknown') AS final_region FROM silver_claims s"
+            " LEFT JOIN silver_cost co ON s.procedure_code = co.procedure_code",
+            "silver_claims", "silver_cost",
+        ),
+    ),
     Entry(
         "C12_enrich_with_defaults",
         lambda s: _plain(c.enrich_with_defaults(

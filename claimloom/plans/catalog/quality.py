@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from claimloom.functions import fixed_values as fixed
 from claimloom.operators import quality as q
 from claimloom.plans.catalog import Entry
+from claimloom.plans.catalog.risk import PROB, RULES, TIER
 from claimloom.plans.silver import Medallion
 from claimloom.plans.sql_text import avg2, half_up, pct, query
 
@@ -36,9 +37,8 @@ def _schema_check(s):
     """Contract differences next to the row count of the table they concern."""
     gold = Medallion(s).gold
     wrong = q.schema_differences(gold, FEATURE_SCHEMA)
-    return gold.agg(F.count("claim_id").alias("rows")).join(
-        wrong.agg(F.sort_array(F.collect_list("column_name")).alias("c")).select(F.array_join("c", ",").alias("differs")), how="full", on=F.lit(True)
-    )
+    names = ",".join(sorted(r.column_name for r in wrong.collect()))  # at most one row for each contract column
+    return gold.agg(F.count("claim_id").alias("rows")).withColumn("differs", F.lit(names))
 
 
 def _scored_label(s):
@@ -56,16 +56,26 @@ w AS (SELECT r.*, CASE WHEN d = 'UNKNOWN' THEN 3 ELSE 0 END + CASE WHEN p = 'UNK
 ENTRIES = [
     Entry(
         "Q1_column_profile",
-        lambda s: q.column_profile(s.claims.select(*CLAIM)).drop("approx_distinct"),
+        lambda s: q.column_profile(s.claims.select(*CLAIM), exact=True),
         query(
             " UNION ALL ".join(
-                f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_count,"
+                f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,"
                 f" CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest FROM claims"
                 for c in CLAIM
             ),
             "claims",
         ),
     ),
+    Entry(
+        "Q1_amount_profile",
+        lambda s: q.amount_profile(s.claims, "billed_amount"),
+        query(
+            "SELECT 'billed_amount' AS column_name, count(billed_amount) AS rows, " + avg2("billed_amount", 4) + " AS mean, "
+            + half_up("stddev_samp(CAST(billed_amount AS DOUBLE))", 4) + " AS stddev, CAST(min(billed_amount) AS DOUBLE) AS smallest, CAST(max(billed_amount) AS DOUBLE) AS largest, "
+            + ", ".join(f"CAST(quantile_disc(billed_amount, {p}) AS DOUBLE) AS {n}" for n, p in q.QUARTILES.items()) + " FROM claims",
+            "claims",
+        ),
+    ),
     Entry(
         "Q2_range_checks",
         lambda s: q.range_checks(s.claims),
@@ -184,6 +194,32 @@ ENTRIES = [
             "claims",
         ),
     ),
+    Entry(
+        "Q15_code_format_samples",
+        lambda s: q.code_format_samples(s.claims, "diagnosis_code"),
+        query(
+            "SELECT claim_id, row_key, diagnosis_code FROM claims WHERE diagnosis_code IS NULL OR regexp_matches(diagnosis_code, '[a-z]')"
+            " OR diagnosis_code <> trim(diagnosis_code) ORDER BY claim_id, row_key LIMIT 5",
+            "claims",
+        ),
+    ),
+    Entry(
+        "Q16_key_overlap",
+        lambda s: q.union_all(
+            [
+                q.key_overlap(s.claims, s.providers, "provider_id", "providers"),
+                q.key_overlap(s.claims, s.diagnosis, "diagnosis_code", "diagnosis"),
+                q.key_overlap(s.claims, s.cost, "procedure_code", "cost"),
+            ]
+        ),
+        query(
+            " UNION ALL ".join(
+                f"SELECT '{t}' AS dimension, count(DISTINCT c.{k}) AS shared_keys, count(*) AS matched_rows FROM claims c JOIN (SELECT DISTINCT {k} FROM {t}) d ON c.{k} = d.{k}"
+                for t, k in [("providers", "provider_id"), ("diagnosis", "diagnosis_code"), ("cost", "procedure_code")]
+            ),
+            "claims", "providers", "diagnosis", "cost",
+        ),
+    ),
     Entry(
         "Q16_key_coverage",
         lambda s: q.union_all(
@@ -298,6 +334,23 @@ ENTRIES = [
             "claims", "cost",
         ),
     ),
+    Entry(
+        "Q24_distributions",
+        lambda s: q.union_all(
+            [
+                q.share_by(Medallion(s).wide_rules, c, places=2).select(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"), "claim_count", "pct")
+                for c in ("denial_reason_code", "risk_tier", "denial_flag")
+            ]
+        ),
+        query(
+            RULES + ", w AS (SELECT reason2 AS denial_reason_code, " + TIER.format(q=PROB.format(p="points2")) + " AS risk_tier, CASE WHEN points2 >= 3 THEN 1 ELSE 0 END AS denial_flag FROM t2) "
+            + " UNION ALL ".join(
+                f"SELECT '{c}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS claim_count, {pct('count(*)', '(SELECT count(*) FROM w)', 2)} AS pct FROM w GROUP BY 2"
+                for c in ("denial_reason_code", "risk_tier", "denial_flag")
+            ),
+            "claims", "cost",
+        ),
+    ),
     Entry(
         "Q25_class_balance",
         lambda s: q.class_balance(_scored_label(s), "denial_flag"),

@@ -8,6 +8,7 @@ from claimloom.functions import fixed_values as fixed
 from claimloom.operators import quality as q
 from claimloom.operators import reports as r
 from claimloom.plans.catalog import Entry
+from claimloom.plans.catalog.risk import PROB, RULES, TIER
 from claimloom.operators.risk import points_probability
 from claimloom.plans.silver import Medallion
 from claimloom.sources.scratch import written
@@ -305,6 +306,17 @@ ENTRIES = [
             "scored",
         ),
     ),
+    Entry(
+        "A25_rule_counts",
+        lambda s: q.union_all(
+            [Medallion(s).wide_rules.groupBy(F.lit(c).alias("kind"), F.col(c).alias("value")).agg(F.count("*").alias("claims")) for c in ("denial_reason_code", "risk_tier")]
+        ),
+        query(
+            RULES + ", w AS (SELECT reason2 AS denial_reason_code, " + TIER.format(q=PROB.format(p="points2")) + " AS risk_tier FROM t2) "
+            + " UNION ALL ".join(f"SELECT '{c}' AS kind, {c} AS value, count(*) AS claims FROM w GROUP BY 2" for c in ("denial_reason_code", "risk_tier")),
+            "claims", "cost",
+        ),
+    ),
     Entry(
         "A26_request_metrics",
         lambda s: r.request_metrics(_log(s)),

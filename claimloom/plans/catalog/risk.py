@@ -86,9 +86,10 @@ ENTRIES = [
     ),
     Entry(
         "R8_wide_claims",
-        lambda s: _plain(Medallion(s).wide_rules.drop("claim_age_days")),
+        lambda s: _plain(Medallion(s).wide_rules.withColumns({"_silver_timestamp": F.col("_silver_timestamp").isNotNull(), "claim_age_days": F.col("claim_age_days").cast("double")})),
         query(
-            RULES + "SELECT t2.claim_id, t2.patient_id, t2.v AS provider_id, CAST(t2.claim_date AS VARCHAR) AS claim_date, t2.d AS diagnosis_code,"
+            RULES + "SELECT t2.claim_id, t2.patient_id, t2.v AS provider_id, CAST(t2.claim_date AS VARCHAR) AS claim_date, "
+            f"CAST(date_diff('day', t2.claim_date, DATE '{AS_OF_TEXT}') AS DOUBLE) AS claim_age_days, true AS _silver_timestamp, 'silver' AS _silver_layer, t2.d AS diagnosis_code,"
             " t2.p AS procedure_code, CAST(b AS DOUBLE) AS billed_amount, CAST(coalesce(t2.average_cost, 0) AS DOUBLE) AS average_cost,"
             " CAST(coalesce(t2.expected_cost, 0) AS DOUBLE) AS expected_cost, coalesce(specialty, 'UNKNOWN') AS specialty,"
             " coalesce(location, 'UNKNOWN') AS location, coalesce(category, 'UNKNOWN') AS diagnosis_category,"
@@ -102,8 +103,8 @@ ENTRIES = [
     ),
     Entry(
         "R9_claim_age",
-        lambda s: s.claims.where(F.col("claim_date").isNotNull()).select("claim_id", "row_key", k.claim_age(F.col("claim_date"), AS_OF).alias("claim_age_days")),
-        query(f"SELECT claim_id, row_key, date_diff('day', claim_date, DATE '{AS_OF_TEXT}') AS claim_age_days FROM claims WHERE claim_date IS NOT NULL", "claims"),
+        lambda s: s.claims.select("claim_id", "row_key", k.claim_age(F.col("claim_date"), AS_OF).cast("double").alias("claim_age_days")),
+        query(f"SELECT claim_id, row_key, CAST(date_diff('day', claim_date, DATE '{AS_OF_TEXT}') AS DOUBLE) AS claim_age_days FROM claims", "claims"),
     ),
     Entry(
         "R10_label_guardrails",

@@ -88,6 +88,11 @@ def _exports(s):
 ENTRIES = [
     Entry("S1_ingest_inferred", lambda s: _bronze(s, None)[0].select(*[F.col(c).cast("string").alias(c) if c == "claim_date" else F.col(c) for c in COLUMNS]), query(CONTENT + " FROM claims", "claims")),
     Entry("S2_ingest_with_schema", lambda s: _bronze(s, readers.CLAIMS_SCHEMA)[0].where(F.col(readers.REJECTED).isNull()).select(*COLUMNS), query(CONTENT + " FROM claims", "claims")),
+    Entry(
+        "S2_rejected_rows",
+        lambda s: _bronze(s, readers.CLAIMS_SCHEMA)[0].agg(F.count("*").alias("rows"), F.count(readers.REJECTED).alias("rejected")),
+        query("SELECT count(*) AS rows, 0 AS rejected FROM claims", "claims"),
+    ),
     Entry(
         "S3_lineage_columns",
         lambda s: _bronze(s, readers.CLAIMS_SCHEMA)[0].groupBy("_source_layer", "_is_phi", F.col("_source_file").endswith(".csv").alias("csv"), F.col("_ingestion_timestamp").isNotNull().alias("stamped")).agg(F.count("*").alias("rows")),
