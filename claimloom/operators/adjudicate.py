@@ -43,6 +43,7 @@ def batch_status() -> Column:
 def with_batch_texts(df: DataFrame) -> DataFrame:
     """Next action, policy match and primary reason of each batch row."""
     dup_reason = looked_up({k: v[0] for k, v in fixed.DUPLICATE_TEXTS.items()}, F.col("duplicate_type"))
+    dup_reason = F.replace(dup_reason, F.lit("{matched}"), F.coalesce("matched_claim_id", F.lit("")))
     dup_action = looked_up({k: v[1] for k, v in fixed.DUPLICATE_TEXTS.items()}, F.col("duplicate_type"))
     status = F.col("status")
     unscored = F.col("error_code").isNotNull()

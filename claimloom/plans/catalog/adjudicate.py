@@ -61,17 +61,30 @@ def batch_result(s):
     return plan.adjudicate_batch(s.batch, s.history, dims(s), p_approved(), AS_OF, IMPORTANCES)
 
 
+def _batch_duplicates(s):
+    """Dated rows through the engine; rows without a date stay, as invalid input."""
+    dated = s.batch.withColumn("claim_date", service_date(F.col("service_date")))
+    marked = duplicates.mark_batch(written(duplicates.mark_history(dated.where("claim_date IS NOT NULL"), s.history), "history_marks"))
+    none = F.lit(False)
+    invalid = dated.where("claim_date IS NULL").withColumns(
+        {"duplicate_type": F.lit("INVALID_INPUT"), "is_blocked": none, "is_revised": none, "force_review": none, "matched_claim_id": F.lit(None).cast("string")}
+    )
+    columns = [*KEYS, "duplicate_type", "is_blocked", "is_revised", "force_review", "matched_claim_id"]
+    return duplicates.with_decision(marked).select(columns).unionByName(invalid.select(columns))
+
+
 def chain(*, future: bool = False) -> str:
     return "WITH " + referenced("claims", future) + ", " + scored() + " "
 
 
+DUPLICATE_REASON = "replace(" + case({k: quote(v[0]) for k, v in fixed.DUPLICATE_TEXTS.items()}, "duplicate_type", "NULL") + ", '{matched}', coalesce(matched_claim_id, ''))"
 BATCH = (
     "WITH " + DUPLICATES + ", " + referenced("dup") + ", " + scored("(SELECT * FROM ruled WHERE NOT is_blocked AND len(violations) = 0)")
     + """, final AS (SELECT claim_id, row_key, 'INVALID_INPUT' AS status, '—' AS duplicate_type, CAST(0 AS DOUBLE) AS denial_prob,
   'INVALID_INPUT' AS outcome, 'Invalid service date: ''''' AS primary_reason, 'N/A' AS policy_match,
   'Ensure the service date is a valid date (e.g. YYYY-MM-DD or DD/MM/YYYY).' AS next_action FROM batch WHERE service_date IS NULL
 UNION ALL SELECT claim_id, row_key, 'DUPLICATE_BLOCKED', duplicate_type, CAST(0 AS DOUBLE), 'DUPLICATE_BLOCKED', """
-    + case({k: quote(v[0]) for k, v in fixed.DUPLICATE_TEXTS.items()}, "duplicate_type", "NULL") + ", 'N/A', "
+    + DUPLICATE_REASON + ", 'N/A', "
     + case({k: quote(v[1]) for k, v in fixed.DUPLICATE_TEXTS.items()}, "duplicate_type", "NULL") + """ FROM ruled WHERE is_blocked
 UNION ALL SELECT claim_id, row_key, 'REJECTED', duplicate_type, CAST(1 AS DOUBLE), 'RULE_DENY',
   array_to_string(list_transform(violations, lambda v: v.message), '; '), 'N/A', 'Correct rule violations and resubmit.' FROM ruled
@@ -80,7 +93,7 @@ UNION ALL SELECT claim_id, row_key, 'INVALID_INPUT', duplicate_type, CAST(0 AS D
     + f"{quote(fixed.SCORING_FAILED[0])}, 'N/A', {quote(fixed.SCORING_FAILED[1])} FROM explained WHERE billed_amount < 0"
     + """
 UNION ALL SELECT claim_id, row_key, status, duplicate_type, denial_prob, outcome, coalesce("""
-    + case({k: quote(v[0]) for k, v in fixed.DUPLICATE_TEXTS.items()}, "duplicate_type", "NULL") + """, e1, ''),
+    + DUPLICATE_REASON + """, e1, ''),
   CASE WHEN contains(status, 'APPROVED') OR contains(status, 'RESUBMISSION') THEN 'RAG Match: Approved Policy Criteria'
        ELSE 'RAG Match: Policy Exception Detected' END,
   CASE WHEN is_revised OR force_review THEN """
@@ -199,13 +212,12 @@ ENTRIES = [
     ),
     Entry(
         "V6_V7_batch_duplicates",
-        lambda s: duplicates.with_decision(
-            duplicates.mark_batch(
-                written(duplicates.mark_history(
-                    s.batch.withColumn("claim_date", service_date(F.col("service_date"))).where("claim_date is not null"), s.history), "history_marks")
-            )
-        ).select(*KEYS, "duplicate_type", "is_blocked", "is_revised", "force_review"),
-        query("WITH " + DUPLICATES + " SELECT claim_id, row_key, duplicate_type, is_blocked, is_revised, force_review FROM dup", "batch", "history"),
+        _batch_duplicates,
+        query(
+            "WITH " + DUPLICATES + " SELECT claim_id, row_key, duplicate_type, is_blocked, is_revised, force_review, matched_claim_id FROM dup"
+            " UNION ALL SELECT claim_id, row_key, 'INVALID_INPUT', false, false, false, NULL FROM batch WHERE service_date IS NULL",
+            "batch", "history",
+        ),
     ),
     Entry(
         "V8_single_claim_check",

@@ -175,7 +175,9 @@ _KEY8 = "lower(claim_id || '|' || coalesce(diagnosis_code, '') || '|' || coalesc
 DUPLICATES = f"""valid AS (SELECT *, CAST(service_date AS DATE) AS claim_date FROM batch WHERE service_date IS NOT NULL),
 h AS (SELECT claim_id, {_KEY8} AS k8, {_KEY5} AS k5 FROM history),
 d0 AS (SELECT valid.*, {_KEY8} AS k8, {_KEY5} AS k5 FROM valid),
-d1 AS (SELECT *, k8 IN (SELECT k8 FROM h) AS history_exact, claim_id IN (SELECT claim_id FROM h) AS history_id, k5 IN (SELECT k5 FROM h) AS history_suspicious FROM d0),
+d1 AS (SELECT d0.*, k8 IN (SELECT k8 FROM h) AS history_exact, claim_id IN (SELECT claim_id FROM h) AS history_id, d0.k5 IN (SELECT k5 FROM h) AS history_suspicious,
+  CASE WHEN k8 IN (SELECT k8 FROM h) OR claim_id IN (SELECT claim_id FROM h) THEN claim_id ELSE hm.m END AS matched_claim_id
+  FROM d0 LEFT JOIN (SELECT k5, min(claim_id) AS m FROM h GROUP BY 1) hm ON d0.k5 = hm.k5),
 d2 AS (SELECT *, coalesce(row_key > min(row_key) FILTER (NOT history_exact) OVER (PARTITION BY k8), false) AS batch_exact,
   coalesce(row_key > min(row_key) FILTER (NOT history_exact) OVER (PARTITION BY claim_id), false) AS batch_id,
   coalesce(row_key > min(row_key) FILTER (NOT history_exact) OVER (PARTITION BY k5), false) AS batch_suspicious FROM d1),
