@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes scanned together; one longer text is scanned alone.
-BLOCK = 4 << 20
+BLOCK = (2 << 20) - 65_536
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -68,7 +68,7 @@ class Words:
         inside = word_bytes[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.data, self.start, self.end = data, edges[0::2], edges[1::2]
-        powers, inverse = _powers(1 << max(22, int(len(data)).bit_length()))
+        powers, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
         self._sums, self._inverse = np.cumsum(_byte_values()[data] * powers[: len(data)]), inverse
         self.hash = self._hashed(self.start, self.end)
         first = np.searchsorted(self.start, self.text_start)
