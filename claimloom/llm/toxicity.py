@@ -27,9 +27,11 @@ BEGINNINGS = (4, 5, 6)
 #: Sampled texts that must have a feature for it to get a weight.
 SUPPORT = 3
 #: Of the selection of features, and of the second fit, of the selected ones alone, which undoes most of the shrinking.
-PENALTY, PENALTY_AGAIN = 2e-4, 1e-5
+PENALTY, PENALTY_AGAIN = 1e-3, 1e-4
 STEPS = 400
 GRADES = 4
+#: From this probability of a grade over 0 on a text counts as toxic; under one half, as the penalty shrinks the odds.
+LEAST_TOXIC = 0.3
 
 
 def _features(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ def model(labelled: DataFrame, docs: DataFrame, doc_id: str, text: str, label: s
 
 
 def scored(docs: DataFrame, text: str, learned: Model) -> DataFrame:
-    """``docs`` with severity (the expected grade), grade (the likeliest) and toxic (grade 0 is unlikelier than the rest).
+    """``docs`` with severity (the expected grade), grade (the likeliest) and toxic (a grade over 0 has probability LEAST_TOXIC or more).
 
     A null, empty or wordless text has no features and gets what the thresholds alone say. Columns of these names in ``docs`` are
     replaced. Repeated rows get the same answer.
@@ -170,7 +172,7 @@ def scored(docs: DataFrame, text: str, learned: Model) -> DataFrame:
                 s[a:b] = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], b - a)
             above = learned.exceeds(s)
             each = -np.diff(np.column_stack((np.ones(len(s)), above, np.zeros(len(s)))), axis=1)
-            columns = [*batch.columns, pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
+            columns = [*batch.columns, pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= LEAST_TOXIC)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
     kinds = [DoubleType(), IntegerType(), BooleanType()]
