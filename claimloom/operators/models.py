@@ -16,8 +16,8 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -28,6 +28,7 @@ from claimloom.functions import fixed_values as fixed
 from claimloom.functions.numeric import half_up
 from claimloom.functions.quantiles import exact_quantiles
 from claimloom.operators.attribution import reason_text
+from claimloom.sources.scratch import new_path
 
 SEED = 42
 HASH_SPACE = 1_000_000
@@ -263,30 +264,44 @@ def linear_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     ]))
 
 
-def _paths(tree) -> list[tuple[float, list[tuple[int, np.ndarray]]]]:
-    """Leaves of a fitted tree as (P(approved), [(feature, low, high, cover share)])."""
+Leaf = tuple[float, dict[int, tuple[float, float, float]]]
+
+
+def _paths(nodes: dict[int, dict], value) -> list[Leaf]:
+    """Leaves of a tree from its stored nodes: (value, {feature: (low, high, cover share)})."""
     leaves = []
 
-    def visit(node, bounds):
-        if node.numDescendants() == 0:
-            stats = np.array(list(node.impurityStats().stats()))
-            leaves.append((float(stats[1] / stats.sum()), bounds))
+    def visit(node: dict, bounds: dict) -> None:
+        if node["leftChild"] < 0:
+            leaves.append((value(node), bounds))
             return
-        split = node.split()
-        feature, limit = split.featureIndex(), split.threshold()
-        total = sum(node.impurityStats().stats())
-        for child, low, high in ((node.leftChild(), -np.inf, limit), (node.rightChild(), limit, np.inf)):
-            share = sum(child.impurityStats().stats()) / total
+        feature, limit = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+        for child, low, high in ((nodes[node["leftChild"]], -np.inf, limit), (nodes[node["rightChild"]], limit, np.inf)):
             old = bounds.get(feature, (-np.inf, np.inf, 1.0))
-            visit(child, {**bounds, feature: (max(old[0], low), min(old[1], high), old[2] * share)})
+            visit(child, {**bounds, feature: (max(old[0], low), min(old[1], high), old[2] * child["cover"] / node["cover"])})
 
-    visit(tree._call_java("rootNode"), {})
+    visit(nodes[0], {})
     return leaves
 
 
-def forest_leaves(model: PipelineModel) -> list:
-    """All leaves of a random forest: small plain data that ships with the tasks."""
-    return [_paths(t) for t in model.stages[-1].trees]
+def ensemble_leaves(model: PipelineModel, spark) -> list[Leaf]:
+    """All leaves of a random forest, worth their share of P(approved), or of boosted trees, worth their part of the margin.
+
+    The nodes are read from the stored model; they are small plain data that ships with the tasks.
+    """
+    last, path = model.stages[-1], new_path(spark, "ensemble")
+    last.write().save(path)
+    trees: dict[int, dict[int, dict]] = {}
+    boosted = isinstance(last, GBTClassificationModel)
+    for row in spark.read.parquet(f"{path}/data").collect():
+        node = row.nodeData.asDict(recursive=True)
+        node["cover"] = node["impurityStats"][0] if boosted else sum(node["impurityStats"])
+        trees.setdefault(row.treeID, {})[node["id"]] = node
+    out = []
+    for i, nodes in sorted(trees.items()):
+        weight = last.treeWeights[i] if boosted else 1 / len(trees)
+        out += _paths(nodes, lambda n, w=weight: w * (n["prediction"] if boosted else n["impurityStats"][1] / n["cover"]))
+    return out
 
 
 def shapley_of_leaf(x: np.ndarray, value: float, bounds: dict, out: np.ndarray) -> None:
@@ -315,23 +330,34 @@ def shapley_of_leaf(x: np.ndarray, value: float, bounds: dict, out: np.ndarray)
 
 
 def tree_attribution(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Exact Shapley values of a random forest's P(approved), one column ``shap_<feature>`` each."""
-    forest = forest_leaves(model)
+    """Exact Shapley values of a forest's P(approved) or of boosted trees' margin: one column ``shap_<feature>`` each, and
+    ``base``, the value without any feature known."""
+    leaves = ensemble_leaves(model, df.sparkSession)
     names = [f"shap_{f}" for f in fixed.FEATURES]
+    base = float(sum(value * np.prod([b[2] for b in bounds.values()]) for value, bounds in leaves))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[fixed.FEATURES].to_numpy(dtype=np.float64)
             out = np.zeros_like(x)
-            for leaves in forest:
-                for value, bounds in leaves:
-                    shapley_of_leaf(x, value / len(forest), bounds, out)
-            yield pd.concat([batch[["claim_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            for value, bounds in leaves:
+                shapley_of_leaf(x, value, bounds, out)
+            yield pd.concat([batch[["claim_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1).assign(base=base)
 
-    schema = "claim_id string, " + ", ".join(f"{n} double" for n in names)
+    schema = "claim_id string, " + ", ".join(f"{n} double" for n in names) + ", base double"
     return df.select("claim_id", *[F.col(f).cast("double").alias(f) for f in fixed.FEATURES]).mapInPandas(explain, schema)
 
 
+def additivity(df: DataFrame, model: PipelineModel, name: str, tolerance: float = 1e-9) -> DataFrame:
+    """Claims, and how many of them have contributions that add up to what the model gives."""
+    scored = model.transform(df)
+    column = "rawPrediction" if isinstance(model.stages[-1], GBTClassificationModel) else "probability"
+    given = scored.select("claim_id", vector_to_array(column)[1].alias("__given"))
+    total = reduce(Column.__add__, [F.col(f"shap_{f}") for f in fixed.FEATURES], F.col("base"))
+    both = tree_attribution(df, model).select("claim_id", total.alias("__sum")).join(given, "claim_id")
+    return both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("claims"), F.count_if(F.abs(F.col("__sum") - F.col("__given")) < tolerance).alias("additive"))
+
+
 def top_reasons_wide(df: DataFrame, impacts: Column, features: list[str], top: int = 3) -> DataFrame:
     """The strongest features by |impact| as ``reason_<n>_*`` columns; ties keep feature order."""
     entries = F.array(*[

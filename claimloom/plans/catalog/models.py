@@ -71,6 +71,11 @@ def _tree_attribution(s):
     return m.tree_attribution(df, fit(df, "random_forest").model)
 
 
+def _additivity(s):
+    df = frame(s)
+    return m.additivity(df, fit(df, "random_forest").model, "random_forest").unionAll(m.additivity(df, fit(df, "boosted_trees").model, "boosted_trees"))
+
+
 def _rule_predictions(s):
     p = at.logistic_probability(WEIGHTS, INTERCEPT)
     return gold(s).withColumns({"p_approved": p, "label": F.col("denial_flag").cast("double")}).withColumn("prediction", F.when(F.col("p_approved") >= 0.5, 1.0).otherwise(0.0))
@@ -151,7 +156,23 @@ ENTRIES = [
     Entry("M10_feature_importance", _importances),
     Entry("M11_leaderboard", _leaderboard),
     Entry("M12_batch_inference", _inference),
+    Entry(
+        "M12_fixed_weight_inference",
+        lambda s: _rule_predictions(s).withColumn("d", F.lit(1.0) - F.col("p_approved")).select(
+            "claim_id", spark_half_up(F.col("d"), 6).alias("denial_probability"), at.inference_risk(F.col("d")).alias("risk_level"), F.when(F.col("prediction") == 0, "DENIED").otherwise("APPROVED").alias("decision")),
+        query(
+            PREDICTED + ", r AS (SELECT *, CAST(1 AS DOUBLE) - p_approved AS dp FROM q) SELECT claim_id, " + half_up("dp", 6) + " AS denial_probability,"
+            " CASE WHEN dp > CAST(0.6 AS DOUBLE) THEN 'HIGH' WHEN dp > CAST(0.35 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,"
+            " CASE WHEN prediction = 0 THEN 'DENIED' ELSE 'APPROVED' END AS decision FROM r",
+            "all_features",
+        ),
+    ),
     Entry("M13_tree_attribution", _tree_attribution),
+    Entry(
+        "M13_additivity",
+        _additivity,
+        query("SELECT unnest(['random_forest', 'boosted_trees']) AS model, claims, claims AS additive FROM (SELECT count(*) AS claims FROM all_features)", "all_features"),
+    ),
     Entry(
         "M13_linear_attribution",
         lambda s: m.linear_attribution(gold(s), WEIGHTS).select("claim_id", "impacts.*"),
