@@ -170,11 +170,11 @@ explained AS (SELECT *, {rec(0)} AS recommendation, {rec(1)} AS next_action,
   WHEN denial_prob < {d(0.65)} THEN 'MANUAL_REVIEW' WHEN denial_prob < {d(0.8)} THEN 'AT_RISK' ELSE 'HOLD_FOR_CORRECTION' END AS outcome FROM p5)"""
 
 
-_KEY5 = "lower(coalesce(patient_id, '') || '|' || coalesce(provider_id, '') || '|' || coalesce(procedure_code, '') || '|' || CAST(coalesce(billed_amount, 0) AS VARCHAR) || '|' || coalesce(CAST(claim_date AS VARCHAR), ''))"
-_KEY8 = "lower(claim_id || '|' || coalesce(diagnosis_code, '') || '|' || coalesce(policy_id, '')) || '|' || " + _KEY5
+KEY5 = "lower(coalesce(patient_id, '') || '|' || coalesce(provider_id, '') || '|' || coalesce(procedure_code, '') || '|' || CAST(coalesce(billed_amount, 0) AS VARCHAR) || '|' || coalesce(CAST(claim_date AS VARCHAR), ''))"
+KEY8 = "lower(claim_id || '|' || coalesce(diagnosis_code, '') || '|' || coalesce(policy_id, '')) || '|' || " + KEY5
 DUPLICATES = f"""valid AS (SELECT *, CAST(service_date AS DATE) AS claim_date FROM batch WHERE service_date IS NOT NULL),
-h AS (SELECT claim_id, {_KEY8} AS k8, {_KEY5} AS k5 FROM history),
-d0 AS (SELECT valid.*, {_KEY8} AS k8, {_KEY5} AS k5 FROM valid),
+h AS (SELECT claim_id, {KEY8} AS k8, {KEY5} AS k5 FROM history),
+d0 AS (SELECT valid.*, {KEY8} AS k8, {KEY5} AS k5 FROM valid),
 d1 AS (SELECT d0.*, k8 IN (SELECT k8 FROM h) AS history_exact, claim_id IN (SELECT claim_id FROM h) AS history_id, d0.k5 IN (SELECT k5 FROM h) AS history_suspicious,
   CASE WHEN k8 IN (SELECT k8 FROM h) OR claim_id IN (SELECT claim_id FROM h) THEN claim_id ELSE hm.m END AS matched_claim_id
   FROM d0 LEFT JOIN (SELECT k5, min(claim_id) AS m FROM h GROUP BY 1) hm ON d0.k5 = hm.k5),
