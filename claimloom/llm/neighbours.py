@@ -6,8 +6,8 @@ in the leaf it descends to. A query visits leaves best bin first: a priority que
 centres. How many leaves are visited is widened on sampled queries until TARGET recall among the sample is reached;
 leaves of the whole table hold closer neighbours than those of the sample, so recall there isn't lower as a rule.
 
-Leaves are split into blocks of about BLOCK rows; each block compares its rows with the queries that visit its leaf, and gives
-each query its best. The best of all blocks are merged.
+Neighbouring small leaves share a shelf of about BLOCK rows, a large leaf is split into blocks of as many. A block gets each query that
+visits a leaf of it once, compares it with the rows of the leaves it visits, and gives its best. The best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -159,12 +159,12 @@ def fitted(rows: DataFrame, k: int) -> tuple[Tree, float] | None:
     return calibrated(grow(x), x, k), most
 
 
-def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The best of a block for each query: number of the query, rows, inner products summed in order."""
+def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, visited: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The best of a block for each query, among the rows in leaves that it visits: number of the query, rows, inner products summed in order."""
     for a in range(0, len(q), TOGETHER):
         rough = q[a : a + TOGETHER] @ x.T
         for i, s in enumerate(rough):
-            keep = np.flatnonzero(ids != own[a + i])
+            keep = np.flatnonzero((ids != own[a + i]) & visited[a + i])
             if len(keep) > k:  # those that rounding might put among the k best
                 cut = np.partition(s[keep], len(keep) - k)[len(keep) - k]
                 keep = keep[s[keep] >= cut - 1e-9 * max(1.0, abs(cut))]
@@ -173,6 +173,18 @@ def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int
             yield a + i, keep[order], exact[order]
 
 
+def _shelves(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Shelf and number of blocks of each leaf: neighbouring small leaves share a shelf of about BLOCK rows, a large leaf has its own
+    and is split into blocks."""
+    out, shelf, held = {}, 0, 0
+    for leaf in sorted(counts):
+        if held and held + counts[leaf] > BLOCK:
+            shelf, held = shelf + 1, 0
+        out[leaf] = shelf, max(1, -(-counts[leaf] // BLOCK))
+        held += counts[leaf]
+    return out
+
+
 def nearest(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the nearest found for each query, largest inner product first.
 
@@ -194,28 +206,39 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["id", "v", "leaf"])
 
     placed = written(rows.mapInArrow(place, "id bigint, v array<double>, leaf bigint"), "leaves")
-    blocks = {r.leaf: -(-r["count"] // BLOCK) for r in placed.groupBy("leaf").count().collect()}
-    sizes = spark.createDataFrame(list(blocks.items()), "leaf bigint, blocks bigint")  # one row for each leaf of the tree
+    counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row for each leaf of the tree
+    shelves = _shelves(counts)
+    sizes = spark.createDataFrame([(leaf, *shelf) for leaf, shelf in shelves.items()], "leaf bigint, shelf bigint, blocks bigint")
     in_blocks = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks"))).drop("blocks")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = np.column_stack((_matrix(batch.column(1)), np.zeros(len(batch))))
             if len(batch):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([tree.best_bins(x, tree.visits) for x in q], pa.list_(pa.int64()))], names=["id", "v", "leaf"])
+                visits = []
+                for x in q:
+                    by: dict[tuple[int, int], list[int]] = {}
+                    for leaf in tree.best_bins(x, tree.visits):
+                        if leaf in shelves:
+                            by.setdefault(shelves[leaf], []).append(leaf)
+                    visits.append([{"shelf": s, "blocks": n, "leaves": leaves} for (s, n), leaves in by.items()])
+                kind = pa.list_(pa.struct([("shelf", pa.int64()), ("blocks", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, kind)], names=["id", "v", "visits"])
 
     asked = usable(queries, vec_id, vector).where(F.size("v") == tree.centres.shape[1] - 1).dropDuplicates(["id", "v"])
-    visiting = asked.mapInArrow(visit, "id bigint, v array<double>, leaf array<bigint>").withColumn("leaf", F.explode("leaf"))
-    visiting = visiting.join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    visiting = asked.mapInArrow(visit, "id bigint, v array<double>, visits array<struct<shelf:bigint,blocks:bigint,leaves:array<bigint>>>")
+    visiting = visiting.select("id", "v", F.inline("visits")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "q": "int64", "vec_id": "int64", "score": "float64"})
         x, ids, q, own = np.stack(left["v"]), left["id"].to_numpy(), np.stack(right["v"]), right["id"].to_numpy()
-        parts = [(np.full(len(at), own[i]), np.full(len(at), right["q"].iat[i]), ids[at], s) for i, at, s in _best(x, ids, q, own, k)]
+        leaves, leaf = np.unique(left["leaf"].to_numpy(), return_inverse=True)
+        visited = np.stack([np.isin(leaves, wanted) for wanted in right["leaves"]])[:, leaf]
+        parts = [(np.full(len(at), own[i]), np.full(len(at), right["q"].iat[i]), ids[at], s) for i, at, s in _best(x, ids, q, own, visited, k)]
         return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) for j, name in enumerate(("query_id", "q", "vec_id", "score"))})
 
-    keys = ["leaf", "block"]
+    keys = ["shelf", "block"]
     right = visiting.withColumn("q", F.xxhash64("v"))
     some = in_blocks.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id bigint, q bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
