@@ -31,8 +31,8 @@ ROUNDS = 12
 #: Sampled queries that widening is calibrated on, and the recall it aims at.
 PROBES, TARGET = 300, 0.97
 BLOCK = 4096
-#: Queries that a block compares at once.
-TOGETHER = 1024
+#: Queries that a block compares at once, and that a task gets with a block; more come in several parts.
+TOGETHER, QUERIES = 1024, 8192
 
 
 @dataclass
@@ -238,8 +238,10 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k:
         parts = [(np.full(len(at), own[i]), np.full(len(at), right["q"].iat[i]), ids[at], s) for i, at, s in _best(x, ids, q, own, visited, k)]
         return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) for j, name in enumerate(("query_id", "q", "vec_id", "score"))})
 
-    keys = ["shelf", "block"]
-    right = visiting.withColumn("q", F.xxhash64("v"))
+    keys = ["shelf", "block", "part"]
+    parts_of_queries = max(1, -(-asked.count() // QUERIES))
+    in_blocks = in_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of_queries - 1))))
+    right = visiting.withColumn("q", F.xxhash64("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts_of_queries)).cast("int"))
     some = in_blocks.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id bigint, q bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
