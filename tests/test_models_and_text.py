@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,6 +53,29 @@ def test_forest_attribution_sums_to_prediction(spark):
     assert max(gaps) - min(gaps) < 1e-9
 
 
+def test_registered_queries_search_all_draws_folds_and_models(spark, monkeypatch):
+    from claimloom.plans.catalog import models as registered
+
+    class Rows:
+        def where(self, condition):
+            return self
+
+    rows, searched = Rows(), {}
+    grids = {c.name: c.grid for c in models.candidates()}
+
+    def search(candidate, train, n_draws, folds=5):
+        searched[candidate.name] = n_draws, folds, candidate.grid == grids[candidate.name], train is rows
+        return candidate.name
+
+    monkeypatch.setattr(models, "search", search)
+    monkeypatch.setattr(models, "evaluate", lambda fitted, test: fitted)
+    monkeypatch.setattr(models, "leaderboard", lambda board: board)
+    monkeypatch.setattr(registered, "frame", lambda s: rows)
+    monkeypatch.setattr(registered, "F", SimpleNamespace(col=lambda name: False))
+    assert sorted(registered._leaderboard(None)) == sorted(grids)
+    assert searched == {n: (d, 5, True, True) for n, d in {"logistic_regression": 1, "random_forest": 20, "boosted_trees": 30, "linear_svc": 15, "boosted_trees_leafy": 30}.items()}
+
+
 def pack(text, limit, overlap):
     """Passages by word lists: a closed passage lends its last words to the next one."""
     def level(segment, seps):
