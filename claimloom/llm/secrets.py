@@ -1,6 +1,6 @@
 """Secret scans: token-like candidates, and a random forest that removes the false positives.
 
-Candidates are runs of token characters. Their features are length, character classes and transitions between them,
+Candidates are runs of token characters, well-known forms, and all that stands behind a secret's name. Their features are length, character classes and transitions between them,
 dictionary coverage, path and neighbouring words. The forest is Spark ML's, trained on labelled findings; its trees
 become one SQL expression, so a text is scanned and judged in place, with DataFrame functions only and no shuffle.
 """
@@ -24,13 +24,30 @@ TREES, DEPTH, SEED = 15, 5, 7
 #: Share of the trees that must vote for a secret.
 LEAST_SCORE = 0.5
 
-#: A run of at least 8 token characters with a digit in it, an access key id, or anything assigned with "=".
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))|(?<==))[A-Za-z0-9+/_-]{8,}+"
-
-ACCESS_KEY = r"^AKIA[A-Z0-9]{16}$"
-#: Names that secrets are assigned to.
-NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth"
-ASSIGNED = rf"(?:{NAMES})[\"']?\s*(?:[:=]|:=|=>)\s*[\"']?$"
+#: Names that secrets are assigned to, and what may follow them: a number or version, or a word that leaves it a secret.
+NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth"
+_SUFFIX = r"(?:[_-]?v?[0-9]{1,8}|[_-](?:key|value|string|prod|dev|stage|staging|test|live|main|old|new))?" * 2
+ASSIGNED = rf"(?:{NAMES}){_SUFFIX}[\"']?\s*(?:[:=]|:=|=>)\s*[\"']?$"
+ACCESS_KEY = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"
+#: Forms that only secrets have: keys and tokens of providers, web tokens, private keys (to their end, or as far as their lines go).
+_PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-{1,4}(?!-)[^-]*+){0,8}+-----END [A-Z0-9 ]{0,60}-----|(?:\s{1,2}[A-Za-z0-9+/=]{16,}){0,400}+)"
+_KNOWN = (
+    r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}+"
+    r"|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|npm_[A-Za-z0-9]{30,}+|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}+|ya29\.[A-Za-z0-9_-]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]++)*+)"
+)
+#: Directly behind a secret's name and an assignment; the first looks are cheap and fail at most places.
+_BEHIND = rf"(?<=[:=>\"'\s])(?<=[:=>]\s{{0,8}}[\"']?)(?<=(?i:{NAMES}){_SUFFIX}[\"']?\s{{0,8}}(?::=|=>|[:=])\s{{0,8}}[\"']?)"
+_START = r"(?<![A-Za-z0-9+/_-])"
+#: Private keys, all in quotes behind a secret's name, well-known forms, all up to a blank behind a secret's name (without closing marks), and
+#: runs of at least 8 token characters with a digit in them or directly behind "=", with dotted parts of a size that words don't have.
+CANDIDATE = (
+    rf"{_PRIVATE_KEY}|{_BEHIND}(?:(?<=\")[^\"\r\n]{{1,500}}+(?=\")|(?<=')[^'\r\n]{{1,500}}+(?='))|{_START}{_KNOWN}|{_BEHIND}(?![\s\"'=>:])\S*[^\s\"',;.)\]}}>]"
+    rf"|{_START}(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{16,}}\.[A-Za-z0-9_-]{{4,}}\.[A-Za-z0-9_-]{{16,}}+"
+    rf"|{_START}(?:(?=[A-Za-z+/_-]*+[0-9])|(?<==))[A-Za-z0-9+/_-]{{8,}}+"
+)
+#: What every text with a candidate has.
+HINT = rf"[0-9=]|-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abeoprs]-|[sr]k_|sk-|AIza|glpat-|npm_|SG\.|ya29\.|eyJ|(?i:{NAMES})[\"']?\s*:"
 #: Words of made-up values.
 PLACEHOLDERS = r"example|sample|dummy|changeme|change_me|placeholder|your[_-]|xxxx|redacted|123456"
 #: Words that identifiers and file names are made of.
@@ -77,7 +94,7 @@ def _features(m: Column, path: Column) -> Column:
         _share(value, "[^/]"),
         _flag(value.rlike("^[0-9a-f-]+$|^[0-9A-F-]+$")),
         _flag(before.rlike(ASSIGNED)),
-        _flag(near.rlike(rf"\b(?:{NAMES})\b")),
+        _flag(near.rlike(rf"(?<![a-z])(?:{NAMES})(?![a-z])")),
         _flag(before.rlike("[:=]\\s*[\"']?$")),
         _flag(F.concat_ws(" ", low, F.right(before, F.lit(12))).rlike(PLACEHOLDERS)),
         _flag(value.rlike(ACCESS_KEY)),
@@ -88,7 +105,7 @@ def _features(m: Column, path: Column) -> Column:
 def candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     """``docs`` with the array candidates: start, end (code points), value, before, after, f (the features)."""
     whole, where = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    found = matches(whole, CANDIDATE, whole.rlike("[0-9=]|AKIA[A-Z]"))
+    found = matches(whole, CANDIDATE, whole.rlike(HINT))
     return docs.withColumn("candidates", F.transform(found, lambda m: m.withField("f", _features(m, where))))
 
 
