@@ -37,7 +37,7 @@ def _once(value: Column, use) -> Column:
 def matches(text: Column, pattern: str, only_if: Column) -> Column:
     """All leftmost non-overlapping matches, as an array of MATCH; empty where ``only_if`` isn't true.
 
-    The pattern must not match the empty text.
+    Before and after are the text's own CONTEXT code points there, other matches included. The pattern must not match the empty text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -52,11 +52,32 @@ def matches(text: Column, pattern: str, only_if: Column) -> Column:
                 F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("size"), x["m"].alias("value"), F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after")
             ),
         )
-        return F.when(n > 0, _once(joined, lambda rows: _once(_blocks(rows), _offset))).otherwise(none)
+        return F.when(n > 0, _once(_once(joined, _with_neighbours), lambda rows: _once(_blocks(rows), _offset))).otherwise(none)
 
     return F.when(only_if, _once(F.struct(found.alias("m"), gaps.alias("g")), placed)).otherwise(none)
 
 
+def _with_neighbours(rows: Column) -> Column:
+    """Where the gap beside a match is shorter than CONTEXT, the matches and gaps beyond it fill up before and after.
+
+    A match has a code point at least, so CONTEXT neighbours are enough; each gives CONTEXT code points at most.
+    """
+    most = F.lit(CONTEXT)
+
+    def joined(first: Column, size: Column, part) -> Column:
+        return F.array_join(F.transform(F.slice(rows, first, size), part), "")
+
+    def filled(m: Column, i: Column) -> Column:
+        left = joined(F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, most), lambda x: F.concat(x["before"], F.right(x["value"], most)))
+        right = joined(i + 2, most, lambda x: F.concat(F.left(x["value"], most), x["after"]))
+        whole = lambda gap, both, cut: F.when(F.char_length(gap) >= CONTEXT, gap).otherwise(cut(both, most))
+        before = whole(m["before"], F.concat(left, m["before"]), F.right)
+        after = whole(m["after"], F.concat(m["after"], right), F.left)
+        return F.struct(m["gap"].alias("gap"), m["size"].alias("size"), m["value"].alias("value"), before.alias("before"), after.alias("after"))
+
+    return F.when(F.size(rows) > 1, F.transform(rows, filled)).otherwise(rows)
+
+
 def _blocks(rows: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
 

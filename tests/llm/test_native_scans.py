@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from claimloom.llm import personal, secrets
+from claimloom.llm.matches import matches
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -103,3 +104,23 @@ def test_whatever_is_assigned_to_a_secrets_name_is_proposed_whole(spark):
     assert _values(spark, list(want)) == [[v] for v in want.values()]
     assert _values(spark, ["author: someone", "note: the word", "passing by", "a -----BEGIN CERTIFICATE----- b", "", None]) == [[]] * 6
     assert len(_values(spark, ["password: " + "x" * 300_000, "a: " * 100_000, "-----BEGIN PRIVATE KEY-----" + "a-b" * 50_000])) == 3
+
+
+def test_context_is_the_text_around_a_match_with_its_neighbours(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["7", "12", "a", "é ", "😀", "bc" * 30]) for _ in range(rng.randrange(1, 700))) for _ in range(60)] + ["", "1", "x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in table.select("text", matches(F.col("text"), "[0-9]", F.lit(True)).alias("m")).collect():
+        t = r.text
+        assert [(x.start, x.end, x.value) for x in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]", t)]
+        assert all(x.before == t[max(0, x.start - 40) : x.start] and x.after == t[x.end : x.end + 40] for x in r.m)
+
+
+def test_names_that_hold_digits_stay_part_of_the_context(spark):
+    texts = ['DB_PASSWORD_2024="XkfooBar99Qz81"', '"oauth2_token": "a8f9c7d6e5b4a3f2"', 'export S3_SECRET_V2="XkfooBar99Qz81"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    for r in secrets.candidates(rows, "text", "source").collect():
+        f = dict(zip(secrets.FEATURES, r.candidates[-1].f, strict=True))
+        assert f["assigned"] == f["name_near"] == 1, r.text
+    found = personal.found(spark.createDataFrame([(1, "ssn: 078-05-1120, 219-09-9999")], "doc_id long, text string"), "text").first()
+    assert [s.value for s in found.ssn] == ["078-05-1120", "219-09-9999"]
