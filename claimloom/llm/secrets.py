@@ -48,8 +48,13 @@ CANDIDATE = (
 )
 #: What every text with a candidate has.
 HINT = rf"[0-9=]|-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abeoprs]-|[sr]k_|sk-|AIza|glpat-|npm_|SG\.|ya29\.|eyJ|(?i:{NAMES})[\"']?\s*:"
-#: Words of made-up values.
-PLACEHOLDERS = r"example|sample|dummy|changeme|change_me|placeholder|your[_-]|xxxx|redacted|123456"
+#: Words of made-up values; 123456 is one too, but not in a well-known form, where ids are numbers.
+PLACEHOLDERS = r"example|sample|dummy|changeme|change_me|placeholder|your[_-]|xxxx|redacted"
+#: Letters and digits mixed in a run that is longer than words and numbers: may be a secret without a name.
+VARIED = r"^(?=.*[0-9])(?=.*[A-Za-z])(?=.*[A-Za-z0-9]{12})[\s\S]{16,}$"
+#: Without quotes: short words of prose behind a blank, words of program texts, references and calls. They may stand behind a secret's name and be no secret.
+PROSE = r"^[A-Za-z]{1,7}$"
+ORDINARY = rf"^(?i:none|null|nil|true|false|undefined|str|string|{NAMES})$|^\$.*$|^<.*$|^\{{\{{.*$|^%.*%$|^[A-Za-z_][A-Za-z0-9_.]*[\(\[].*$"
 #: Words that identifiers and file names are made of.
 DICTIONARY = (
     "access account action address admin agent archive array asset backup base batch block board book build cache card class client "
@@ -64,9 +69,9 @@ DICTIONARY = (
     "type update upload user value version video view widget window word work worker year"
 ).split()
 
-FEATURES = [
-    "size", "digits", "upper", "changes", "distinct", "vowels", "coverage", "slashes", "hex", "assigned", "name_near", "equals", "placeholder", "access_key", "test_path",
-]
+#: What the forest sees: a candidate's shape. What settles labels is kept from it.
+SHAPE = ["size", "digits", "upper", "changes", "distinct", "vowels", "coverage", "slashes", "hex", "test_path"]
+FEATURES = [*SHAPE, "assigned", "name_near", "equals", "placeholder", "known", "varied", "ordinary"]
 
 
 def _share(value: Column, other: str) -> Column:
@@ -82,6 +87,7 @@ def _features(m: Column, path: Column) -> Column:
     """The features of a candidate, in the order of FEATURES."""
     value, before, low = m["value"], F.lower(m["before"]), F.lower(m["value"])
     changes = F.size(F.split(value, r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")) - 1
+    known = value.rlike(f"^(?:{_KNOWN}|{_PRIVATE_KEY})$")
     near = F.concat_ws(" ", before, F.lower(m["after"]))
     return F.array(
         F.char_length(value).cast("double"),
@@ -93,12 +99,14 @@ def _features(m: Column, path: Column) -> Column:
         1 - F.char_length(F.regexp_replace(low, "|".join(DICTIONARY), "")) / F.char_length(value),
         _share(value, "[^/]"),
         _flag(value.rlike("^[0-9a-f-]+$|^[0-9A-F-]+$")),
+        _flag(F.lower(path).rlike(r"test|spec|example|fixture|docs?\b")),
         _flag(before.rlike(ASSIGNED)),
         _flag(near.rlike(rf"(?<![a-z])(?:{NAMES})(?![a-z])")),
         _flag(before.rlike("[:=]\\s*[\"']?$")),
-        _flag(F.concat_ws(" ", low, F.right(before, F.lit(12))).rlike(PLACEHOLDERS)),
-        _flag(value.rlike(ACCESS_KEY)),
-        _flag(F.lower(path).rlike(r"test|spec|example|fixture|docs?\b")),
+        _flag(F.concat_ws(" ", low, F.right(before, F.lit(12))).rlike(PLACEHOLDERS) | (low.contains("123456") & ~known)),
+        _flag(known),
+        _flag(value.rlike(VARIED)),
+        _flag((value.rlike(ORDINARY) & ~before.rlike("[\"']$")) | (value.rlike(PROSE) & before.rlike(r"\s$"))),
     )
 
 
@@ -109,27 +117,32 @@ def candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     return docs.withColumn("candidates", F.transform(found, lambda m: m.withField("f", _features(m, where))))
 
 
-def labelled_by_format(found: DataFrame) -> DataFrame:
-    """Findings (f, y) whose label their form settles, where no human labels exist.
+def _settled(f: Column) -> Column:
+    """1 or 0 where form and context settle whether a candidate is a secret, else null.
 
-    Secrets: access key ids and what is assigned to a secret's name, but for placeholders. No secrets: what has neither such a
-    name near it nor an assignment.
+    Secrets: well-known forms, and what is assigned to a secret's name, but for placeholders and ordinary words. No secrets: placeholders, ordinary words, and what
+    has no secret's name near it, no assignment and no variety. A varied token without a name may be either.
     """
+    at = {name: f[i] == 1 for i, name in enumerate(FEATURES)}
+    secret = (at["known"] | (at["assigned"] & ~at["ordinary"])) & ~at["placeholder"]
+    other = at["placeholder"] | at["ordinary"] & ~at["known"] | ~(at["known"] | at["name_near"] | at["equals"] | at["varied"])
+    return F.when(secret, 1.0).when(other, 0.0)
+
+
+def labelled_by_format(found: DataFrame) -> DataFrame:
+    """Findings (value, f, y) that are settled, where no human labels exist. The forest, which sees only the shape, carries them over to the others."""
     rows = found.select(F.explode("candidates").alias("c")).select("c.value", "c.f")
-    at = {name: F.col("f")[i] for i, name in enumerate(FEATURES)}
-    secret = ((at["access_key"] == 1) | (at["assigned"] == 1)) & (at["placeholder"] == 0)
-    other = (at["name_near"] == 0) & (at["equals"] == 0) & (at["access_key"] == 0)
-    return rows.select("value", "f", F.when(secret, 1.0).when(other, 0.0).alias("y")).where("y IS NOT NULL")
+    return rows.select("value", "f", _settled(F.col("f")).alias("y")).where("y IS NOT NULL")
 
 
 def forest(labelled: DataFrame):
     """Fit on labelled findings (value, f, y): at most ROWS of each label. None without findings of both labels."""
     labelled = written(labelled.select("value", "f", "y"), "labelled")
     parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("value", "f"), "value").limit(ROWS) for y in (0.0, 1.0)]
-    rows = reduce(DataFrame.unionByName, parts).select("y", *(F.col("f")[i].alias(n) for i, n in enumerate(FEATURES))).coalesce(1)
+    rows = reduce(DataFrame.unionByName, parts).select("y", *(F.col("f")[i].alias(n) for i, n in enumerate(SHAPE))).coalesce(1)
     if rows.select("y").distinct().count() < 2:
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    vectors = VectorAssembler(inputCols=SHAPE, outputCol="features").transform(rows)
     return RandomForestClassifier(labelCol="y", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(vectors)
 
 
@@ -149,13 +162,17 @@ def _tree(lines: list[str], f: Column) -> Column:
 
 
 def vote(model, f: Column) -> Column:
-    """The share of the trees that vote for a secret; without a model what format settles."""
+    """The share of the trees that vote for a secret; where form settles it, 1 or 0, and so everywhere without a model.
+
+    A run of hexadecimal digits without a name is as likely a checksum: it gets half the votes.
+    """
     if model is None:
-        at = {name: f[i] for i, name in enumerate(FEATURES)}
-        return _flag(((at["access_key"] == 1) | (at["assigned"] == 1)) & (at["placeholder"] == 0))
+        return F.coalesce(_settled(f), F.lit(0.0))
     trees = re.split(r"^ *Tree \d+ .*\n", model.toDebugString, flags=re.M)[1:]
     votes = [_tree([x for x in t.splitlines() if x.strip()], f) for t in trees]
-    return reduce(Column.__add__, votes) / len(votes)
+    at = {name: f[i] for i, name in enumerate(FEATURES)}
+    digest = (at["hex"] == 1) & (at["name_near"] == 0)
+    return F.coalesce(_settled(f), reduce(Column.__add__, votes) / len(votes) * F.when(digest, 0.5).otherwise(1.0))
 
 
 def judged(docs: DataFrame, text: str, path: str, model) -> DataFrame:
@@ -165,7 +182,7 @@ def judged(docs: DataFrame, text: str, path: str, model) -> DataFrame:
     are taken whole, ties and repeated rows get the same answer, and an empty table stays empty.
     """
     scored = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["f"].alias("f"), vote(model, c["f"]).alias("score")))
-    kind = lambda c: F.when(c["f"][FEATURES.index("access_key")] == 1, "access_key").when(c["f"][FEATURES.index("assigned")] == 1, "assigned").otherwise("token")
+    kind = lambda c: F.when(c["value"].rlike(ACCESS_KEY), "access_key").when(c["f"][FEATURES.index("known")] == 1, "known_form").when(c["f"][FEATURES.index("assigned")] == 1, "assigned").otherwise("token")
     final = F.transform("scored", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), kind(c).alias("kind"), c["score"].alias("score"), (c["score"] >= LEAST_SCORE).alias("secret")))
     kept = candidates(docs.drop("findings", "candidates"), text, path).withColumn("scored", scored)
     return kept.withColumn("findings", final).drop("candidates", "scored")

@@ -124,3 +124,23 @@ def test_names_that_hold_digits_stay_part_of_the_context(spark):
         assert f["assigned"] == f["name_near"] == 1, r.text
     found = personal.found(spark.createDataFrame([(1, "ssn: 078-05-1120, 219-09-9999")], "doc_id long, text string"), "text").first()
     assert [s.value for s in found.ssn] == ["078-05-1120", "219-09-9999"]
+
+
+def test_known_forms_and_unnamed_secrets_are_found_beyond_the_labels(spark):
+    rng = random.Random(9)
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    rows = [(i, [f'token = "{_key(rng, mixed, 40)}"', f"number {_key(rng, '0123456789', 16)} is", f"see page-{i}-of-1000 and"][i % 3], "s") for i in range(300)]
+    model = secrets.forest(secrets.labelled_by_format(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"), "text", "source")))
+    assert model.numFeatures == len(secrets.SHAPE) and not {"assigned", "known", "placeholder", "name_near", "equals", "varied"} & set(secrets.SHAPE)
+    texts = {
+        "the ghp_" + _key(rng, mixed, 36) + " leaked": True, "a header xoxb-12345678901-abcdefGHIJ": True, "with sk_live_" + _key(rng, mixed, 24): True,
+        "?key=AIza" + _key(rng, mixed, 35): True, "got eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4fwpMe there": True,
+        "it was " + _key(rng, mixed, 40) + " all along": True, "password: correcthorsebattery": True, "password: the one": False, 'token = "changeme"': False,
+        "commit " + _key(rng, "0123456789abcdef", 40) + " fixes it": False, "call 5557713000111 now": False, "token = read_token(1234)": False,
+    }
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = secrets.judged(table, "text", "source", model).withColumn("clean", secrets.redacted("text")).collect()
+    assert {r.text: any(x.secret for x in r.findings) for r in out} == texts
+    labelled = secrets.labelled_by_format(secrets.candidates(table, "text", "source")).collect()
+    assert all(r.y == 1 for r in labelled if r.value.startswith(("ghp_", "xoxb-", "sk_live_", "AIza", "eyJ")))
+    assert not any(r.y == 0 and len(r.value) >= 40 for r in labelled)
