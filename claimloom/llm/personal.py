@@ -16,6 +16,15 @@ BASE = ["email", "ip", "card", "phone"]
 #: Kinds that the method adds: bank accounts by their checksum, social security numbers by their context.
 ADDED = ["iban", "ssn"]
 
+#: Characters of an account number by country, as registered.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, codes in IBAN_SIZES.items()]
+_OTHER_COUNTRY = rf"(?!{'|'.join(' '.join(IBAN_SIZES.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"
+
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -24,7 +33,7 @@ PATTERNS = {
     # [0-9]([\x20-]?[0-9])+ of 13 to 19 digits: such matches are whole runs, so shorter and longer runs are no match
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+",
+    "iban": "|".join([*_IBAN, _OTHER_COUNTRY]),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 #: Cheap conditions that any text with a match meets.

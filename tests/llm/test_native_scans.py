@@ -144,3 +144,12 @@ def test_known_forms_and_unnamed_secrets_are_found_beyond_the_labels(spark):
     labelled = secrets.labelled_by_format(secrets.candidates(table, "text", "source")).collect()
     assert all(r.y == 1 for r in labelled if r.value.startswith(("ghp_", "xoxb-", "sk_live_", "AIza", "eyJ")))
     assert not any(r.y == 0 and len(r.value) >= 40 for r in labelled)
+
+
+def test_accounts_end_where_their_country_says(spark):
+    texts = {
+        "DE89370400440532013000 Bitte": ["DE89370400440532013000"], "IBAN DE89370400440532013000 500": ["DE89370400440532013000"], "GB82 WEST 1234 5698 7654 32 EUR 100": ["GB82 WEST 1234 5698 7654 32"],
+        "DE89 3704 0044 0532 0130 00 NO9386011117947 X": ["DE89 3704 0044 0532 0130 00", "NO9386011117947"], "DE893704004405320130001": [], "DE89370400440532013001 Bitte": [], "XDE89370400440532013000": [],
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text: [s.value for s in r.iban] for r in personal.found(table, "text").collect()} == texts
