@@ -4,7 +4,8 @@ Vectors get one more element that makes their norms equal, so that the largest i
 distance. The tree is fitted on a bounded sample of SAMPLE vectors (those first by a hash of id and vector); every row is then put
 in the leaf it descends to. A query visits leaves best bin first: a priority queue holds unvisited branches by distance to their
 centres. How many leaves are visited is widened on sampled queries until TARGET recall among the sample is reached;
-leaves of the whole table hold closer neighbours than those of the sample, so recall there isn't lower as a rule.
+leaves of the whole table hold closer neighbours than those of the sample, so recall there isn't lower as a rule. Sampled queries are searched as all are.
+A query goes on until the leaves it visits hold enough rows for its answer.
 
 Neighbouring small leaves share a shelf of about BLOCK rows, a large leaf is split into blocks of as many. A block gets each query that
 visits a leaf of it once, compares it with the rows of the leaves it visits, and gives its best. The best of all blocks are merged.
@@ -61,10 +62,10 @@ class Tree:
             todo += [(int(kids[k]), rows[near == k]) for k in range(len(kids)) if (near == k).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaves in the order in which the queue gives them."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def best_bins(self, q: np.ndarray, visits: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order in which the queue gives them: so many, and more until they hold ``least`` of the ``rows`` by leaf."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or rows is not None and held < least):
             _, node = heapq.heappop(queue)
             while kids := self.children[node]:
                 d = ((self.centres[kids] - q) ** 2).sum(axis=1)
@@ -74,6 +75,7 @@ class Tree:
                         heapq.heappush(queue, (float(d[k]), kid))
                 node = kids[first]
             out.append(self.leaf[node])
+            held += rows.get(out[-1], 0) if rows is not None else 0
         return out
 
 
@@ -116,15 +118,21 @@ def grow(x: np.ndarray, seed: int = 11) -> Tree:
     return Tree(children, np.array(centres), leaf)
 
 
-def calibrated(tree: Tree, x: np.ndarray, k: int) -> Tree:
-    """Widen the visits until the mean recall of sampled queries is TARGET; all leaves if it stays lower."""
+def _asked(v: np.ndarray, most: float) -> np.ndarray:
+    """Queries as the tree is searched for them: of the common norm, which leaves the order of inner products as it is, and 0 in the added element."""
+    norms = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.column_stack((v * (np.sqrt(most) / np.maximum(norms, 1e-300)), np.zeros(len(v))))
+
+
+def calibrated(tree: Tree, x: np.ndarray, k: int, most: float) -> Tree:
+    """Widen the visits until the mean recall of sampled queries, searched like any other, is TARGET; all leaves if it stays lower."""
     leaf = tree.descend(x)
     missing = []
     for i in range(0, len(x), max(1, len(x) // PROBES)):
-        d = _distances(x, x[i : i + 1])[:, 0]
+        d = -(x[:, :-1] @ x[i, :-1])
         d[i] = np.inf
         top = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-        order = {b: n for n, b in enumerate(tree.best_bins(x[i], tree.leaves))}
+        order = {b: n for n, b in enumerate(tree.best_bins(_asked(x[i : i + 1, :-1], most)[0], tree.leaves))}
         missing.append([order[b] for b in leaf[top]])
     ranks = np.sort(np.concatenate([np.array(m, float) for m in missing])) if missing else np.zeros(1)
     tree.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1 if len(ranks) else tree.leaves
@@ -156,7 +164,7 @@ def fitted(rows: DataFrame, k: int) -> tuple[Tree, float] | None:
         return None
     sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     x = _lifted(_matrix(sample), most)
-    return calibrated(grow(x), x, k), most
+    return calibrated(grow(x), x, k, most), most
 
 
 def _best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, visited: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -207,18 +215,19 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k:
 
     placed = written(rows.mapInArrow(place, "id bigint, v array<double>, leaf bigint"), "leaves")
     counts = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row for each leaf of the tree
+    own = placed.groupBy("id").count().agg(F.max("count")).first()[0]  # rows that a query may find but not take
     shelves = _shelves(counts)
     sizes = spark.createDataFrame([(leaf, *shelf) for leaf, shelf in shelves.items()], "leaf bigint, shelf bigint, blocks bigint")
     in_blocks = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks"))).drop("blocks")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.column_stack((_matrix(batch.column(1)), np.zeros(len(batch))))
             if len(batch):
+                q = _asked(_matrix(batch.column(1)), most)
                 visits = []
                 for x in q:
                     by: dict[tuple[int, int], list[int]] = {}
-                    for leaf in tree.best_bins(x, tree.visits):
+                    for leaf in tree.best_bins(x, tree.visits, counts, k + own):
                         if leaf in shelves:
                             by.setdefault(shelves[leaf], []).append(leaf)
                     visits.append([{"shelf": s, "blocks": n, "leaves": leaves} for (s, n), leaves in by.items()])

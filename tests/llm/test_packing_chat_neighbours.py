@@ -172,3 +172,27 @@ def test_neighbours_of_odd_rows(spark):
     few = table.where("vec_id < 3")
     assert neighbours.nearest(few, "vec_id", "embedding", few, k=5).groupBy("query_id").count().select("count").distinct().collect()[0][0] == 2
     assert neighbours.nearest(table.limit(0), "vec_id", "embedding", table, k=5).collect() == []
+
+
+def test_neighbours_of_uneven_norms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)))
+    x[:3] *= 40
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in neighbours.nearest(table, "vec_id", "embedding", table.where("vec_id % 20 = 5")).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in range(5, 4000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & found[i])
+        assert len(found[i]) == 20
+    assert hits / (20 * 200) >= 0.95
+
+
+def test_a_search_goes_on_until_leaves_hold_enough_rows():
+    tree = neighbours.grow(np.random.default_rng(2).normal(size=(500, 4)))
+    rows = {leaf: 1 for leaf in range(tree.leaves)}
+    assert len(tree.best_bins(np.zeros(4), 1, rows, 4)) == 4 and len(tree.best_bins(np.zeros(4), 5, rows, 4)) == 5
+    assert len(tree.best_bins(np.zeros(4), 1, rows, 10**6)) == tree.leaves
