@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.sources.scratch import written
+
 #: Code points in a bin.
 CAPACITY = 8192
 PER_SOURCE = 4
@@ -126,12 +128,26 @@ def pack(rows: pd.DataFrame, capacity: int, per_source: int) -> list[tuple]:
     return out
 
 
-def packed(docs: DataFrame, doc_id: str, text: str, source: str, cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD) -> DataFrame:
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the cluster of their group; only ids, sizes and hashes move."""
+    rows = written(rows, "sizes")
+    first = groups.where("id IS NOT NULL").groupBy("id").agg(F.min("group").alias("group"))
+    named = rows.where("id IS NOT NULL").join(first, "id", "left")
+    loose = rows.where("id IS NULL")
+    # the group of an equal text, for the few hashes that rows without an id have
+    equal = named.join(loose.select("cluster").distinct(), "cluster", "left_semi").groupBy("cluster").agg(F.min("group").alias("group"))
+    both = named.unionByName(loose.join(equal, "cluster", "left"))
+    cluster = F.when(F.col("group").isNull() | F.col("cluster").isNull(), F.col("cluster")).otherwise(F.xxhash64("group", F.lit("group")))
+    return both.select("id", "size", "source", cluster.alias("cluster"))
+
+
+def packed(docs: DataFrame, doc_id: str, text: str, source: str, cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, groups: DataFrame | None = None) -> DataFrame:
     """doc_id, piece (from 0), start, end (code points, end exclusive), bin_id, place in the bin: one row for each piece.
 
     The pieces of a document, in order, are its whole text. A null or empty text is one empty piece, which takes no room. A
     null source is a source of its own. Without a cluster column equal texts are copies; null clusters and empty texts are
-    copies of nothing. Rows without an id and repeated rows are packed like others. An empty table gives no rows.
+    copies of nothing. ``groups`` (the id, component_id) joins near copies: rows with an id take its group as their cluster, and rows without one the
+    group of an equal text. Rows without an id and repeated rows are packed like others. An empty table gives no rows.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     copies = F.when(F.length(whole) > 0, F.xxhash64(whole)) if cluster is None else F.xxhash64(F.col(cluster).cast("string"))
@@ -139,6 +155,8 @@ def packed(docs: DataFrame, doc_id: str, text: str, source: str, cluster: str |
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("id"), F.char_length(whole).cast("bigint").alias("size"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), copies.alias("cluster")
     )
+    if groups is not None:
+        rows = _grouped(rows, groups.select(F.col(doc_id).cast("bigint").alias("id"), F.col("component_id").alias("group")))
     n = max(1, -(-docs.count() // shard))
     rows = rows.withColumn("key", F.xxhash64("id", "cluster", F.monotonically_increasing_id())).withColumn("shard", F.pmod("key", F.lit(n)))
 

@@ -45,7 +45,8 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed(docs, "doc_id", "text", "source", groups=jaccard.joined(docs, "doc_id", "text", size=5, percent=80))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

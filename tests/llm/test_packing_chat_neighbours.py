@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat, neighbours, packing
+from claimloom.llm import chat, neighbours, packing, queries
 
 
 def test_bins_hold_every_piece_and_no_conflict(spark):
@@ -196,3 +196,15 @@ def test_a_search_goes_on_until_leaves_hold_enough_rows():
     rows = {leaf: 1 for leaf in range(tree.leaves)}
     assert len(tree.best_bins(np.zeros(4), 1, rows, 4)) == 4 and len(tree.best_bins(np.zeros(4), 5, rows, 4)) == 5
     assert len(tree.best_bins(np.zeros(4), 1, rows, 10**6)) == tree.leaves
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} {'end' if i % 2 else 'END  stop'}", f"s{i}") for i in range(12)] + [(100 + i, f"other text number {i} of {i * i}", f"t{i}") for i in range(12)]
+    rows += [(None, rows[0][1], "n"), (None, "", "n"), (200, None, "n"), (3, rows[3][1], "r")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = queries.op6_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(pieces) == len(rows)
+    copies = Counter(p.bin_id for p in pieces if (p.doc_id is None and p.end) or (p.doc_id is not None and p.doc_id < 12))
+    assert len(copies) == 14 and set(copies.values()) == {1}
+    assert len({p.bin_id for p in pieces}) == 14
