@@ -41,13 +41,19 @@ _BEHIND = rf"(?<=[:=>\"'\s])(?<=[:=>]\s{{0,8}}[\"']?)(?<=(?i:{NAMES}){_SUFFIX}[\
 _START = r"(?<![A-Za-z0-9+/_-])"
 #: Private keys, all in quotes behind a secret's name, well-known forms, all up to a blank behind a secret's name (without closing marks), and
 #: runs of at least 8 token characters with a digit in them or directly behind "=", with dotted parts of a size that words don't have.
+_RUNS = (
+    rf"{_START}(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{16,}}\.[A-Za-z0-9_-]{{4,}}\.[A-Za-z0-9_-]{{16,}}+"
+    rf"|{_START}(?:(?=[A-Za-z+/_-]*+[0-9])|(?<==))[A-Za-z0-9+/_-]{{8,}}+"
+)
 CANDIDATE = (
     rf"{_PRIVATE_KEY}|{_BEHIND}(?:(?<=\")[^\"\r\n]{{1,500}}+(?=\")|(?<=')[^'\r\n]{{1,500}}+(?='))|{_START}{_KNOWN}|{_BEHIND}(?![\s\"'=>:])\S*[^\s\"',;.)\]}}>]"
-    rf"|{_START}(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{16,}}\.[A-Za-z0-9_-]{{4,}}\.[A-Za-z0-9_-]{{16,}}+"
-    rf"|{_START}(?:(?=[A-Za-z+/_-]*+[0-9])|(?<==))[A-Za-z0-9+/_-]{{8,}}+"
+    rf"|{_RUNS}"
 )
-#: What every text with a candidate has.
-HINT = rf"[0-9=]|-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abeoprs]-|[sr]k_|sk-|AIza|glpat-|npm_|SG\.|ya29\.|eyJ|(?i:{NAMES})[\"']?\s*:"
+#: Texts that hold none of these, in any case or as they are, have only runs, which are faster to look for.
+PARTS = ["pass", "pwd", "secret", "token", "credential", "key", "auth"]
+MARKS = (
+    "-----BEGIN AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ rk_live_ sk_test_ rk_test_ sk- AIza glpat- npm_ SG. ya29. eyJ"
+).split()
 #: Words of made-up values; 123456 is one too, but not in a well-known form, where ids are numbers.
 PLACEHOLDERS = r"example|sample|dummy|changeme|change_me|placeholder|your[_-]|xxxx|redacted"
 #: Letters and digits mixed in a run that is longer than words and numbers: may be a secret without a name.
@@ -113,7 +119,9 @@ def _features(m: Column, path: Column) -> Column:
 def candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     """``docs`` with the array candidates: start, end (code points), value, before, after, f (the features)."""
     whole, where = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    found = matches(whole, CANDIDATE, whole.rlike(HINT))
+    low = F.lower(whole)
+    wide = reduce(Column.__or__, [low.contains(x) for x in PARTS] + [whole.contains(x) for x in MARKS])
+    found = F.when(wide, matches(whole, CANDIDATE, F.lit(True))).otherwise(matches(whole, _RUNS, whole.rlike("[0-9=]")))
     return docs.withColumn("candidates", F.transform(found, lambda m: m.withField("f", _features(m, where))))
 
 
