@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat, decontaminate, jaccard, language, neighbours, packing, periodic, personal, quality, secrets, toxicity
+from claimloom.llm import chat, decontaminate, hard_negatives, hyperminhash, jaccard, language, neighbours, packing, periodic, personal, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", F.col("id") % 100 == 0)
+
+
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.deduplicated(_table(spark, sf_dir, "documents"), "doc_id", "text", size=5, percent=85)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", periodic.looped(F.col("text"), F.col("doc_id")).alias("text"))
     found = periodic.collapsed(docs, "text").withColumn("best", periodic.strongest(F.col("runs")))
@@ -136,5 +145,25 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op9_nearest_neighbours": op9_nearest_neighbours, "op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination, "op13_periodic_runs": op13_periodic_runs}
-SQL = {"op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
+OP11_SQL = r"""
+WITH fine AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+OP12_SQL = OP5_SQL.replace("len(w) < 3", "len(w) < 5").replace("len(w) - 1)", "len(w) - 3)").replace("w[i : i + 2]", "w[i : i + 4]").replace(
+    "100 * n >= 90", "100 * n >= 85"
+).replace("c.component_id\n", "c.component_id, s.doc_id = c.component_id AS kept\n")
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op9_nearest_neighbours": op9_nearest_neighbours, "op6_best_fit_packing": op6_best_fit_packing, "op7_toxicity": op7_toxicity, "op3_secret_scan": op3_secret_scan, "op8_quality": op8_quality, "op4_personal_data": op4_personal_data, "op5_ngram_jaccard": op5_ngram_jaccard, "op2_language_id": op2_language_id, "op10_decontamination": op10_decontamination, "op11_hard_negatives": op11_hard_negatives, "op12_hyperminhash": op12_hyperminhash, "op13_periodic_runs": op13_periodic_runs}
+SQL = {"op12_hyperminhash": OP12_SQL, "op11_hard_negatives": OP11_SQL, "op4_personal_data": personal.SQL, "op5_ngram_jaccard": OP5_SQL, "op10_decontamination": OP10_SQL}
