@@ -158,7 +158,8 @@ def packed(docs: DataFrame, doc_id: str, text: str, source: str, cluster: str |
     if groups is not None:
         rows = _grouped(rows, groups.select(F.col(doc_id).cast("bigint").alias("id"), F.col("component_id").alias("group")))
     n = max(1, -(-docs.count() // shard))
-    rows = rows.withColumn("key", F.xxhash64("id", "cluster", F.monotonically_increasing_id())).withColumn("shard", F.pmod("key", F.lit(n)))
+    # written: a task that is run again would number repeated rows anew, and deal them to other shards
+    rows = written(rows.withColumn("key", F.xxhash64("id", "cluster", F.monotonically_increasing_id())), "keys").withColumn("shard", F.pmod("key", F.lit(n)))
 
     def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = pack(part, capacity, per_source)
