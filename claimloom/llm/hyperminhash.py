@@ -251,17 +251,6 @@ def deduplicated(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent
     )
 
 
-def estimated_groups(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id and component_id of every row as in ``deduplicated``, from one scan: links are sets that by estimate are similar to a pivot of
-    their bands. Nothing is confirmed, so near ``percent`` a link may be missed or made; equal sets always are one group.
-    """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = written(sketched(rows, size, percent), "signatures")
-    sets = distinct_sets(signed)
-    links = written(likely(banded_pairs(sets), sets, percent, 0.0), "links")
-    return in_classes(signed, components(links, "a", "b")).select(F.col("id").alias(doc_id), "component_id")
-
-
 def in_classes(signed: DataFrame, groups: DataFrame) -> DataFrame:
     """id, n and component_id of every signed row, from the component of each linked set (node, component)."""
     # equal sets are known by their smallest id, components of sets by the smallest of those

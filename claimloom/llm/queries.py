@@ -46,7 +46,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.packed(docs, "doc_id", "text", "source", groups=hyperminhash.estimated_groups(docs, "doc_id", "text", size=5, percent=80))
+    return packing.packed(docs, "doc_id", "text", "source", groups=hyperminhash.deduplicated(docs, "doc_id", "text", size=5, percent=80))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

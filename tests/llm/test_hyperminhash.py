@@ -117,16 +117,3 @@ def test_rows_without_id_repeated_rows_other_columns_and_an_empty_table(spark):
     want = [(5, 8, 5, True), (5, 8, 5, True), (None, 8, None, True), (7, 8, 5, False), (8, 0, 8, True), (None, 0, None, True), (9, 0, 9, True)]
     assert got == sorted(want, key=str)
     assert hyperminhash.deduplicated(docs.where("false"), "doc_id", "text").count() == 0
-
-
-def test_groups_by_estimate_agree_with_confirmed_ones(spark):
-    """Of the pairs that confirmed links put together nine in ten are together, and few others."""
-    texts = _texts(5)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in hyperminhash.estimated_groups(docs, "doc_id", "text").collect()}
-    want = _components([_shingles(t, 5) for t in texts], 80)
-    pairs = list(itertools.combinations(range(len(texts)), 2))
-    true = {(i, j) for i, j in pairs if want[i] == want[j]}
-    together = {(i, j) for i, j in pairs if found[i] == found[j]}
-    assert len(true & together) >= 0.9 * len(true)
-    assert len(true & together) >= 0.9 * len(together)
