@@ -4,12 +4,13 @@ A text's shingle hashes fall into REGISTERS buckets. A register keeps its bucket
 zeros, and the MANTISSA bits behind the first one. An empty bucket borrows from another of the same text, in an order fixed for each
 bucket, so that two texts' registers agree with the probability of their Jaccard similarity whatever their sizes are.
 
-1. Sets are banded: WIDTH registers together are one band. Sets that share a band are compared with the band's pivot, its smallest set by
-   hash. Two sets of similarity s miss each other in all bands with probability (1 - s^WIDTH)^BANDS (at 0.85: 3e-7).
-2. The share of equal registers, less what unlike hashes agree by chance (``collisions``), estimates the similarity. Pairs that reach the limit less
-   MARGIN (five standard deviations) are confirmed on their full sets.
-3. In a band whose sets aren't all connected by then, two others than the pivot may be linked. They are looked up by the rarest shingles in which they
-   differ from the pivot (see ``_looked_up``): not all pairs are formed. Pairs found are estimated and confirmed like the others.
+1. Sets are banded: WIDTH registers together are one band. A set is as central as the sets that its bands hold are many; the most central set of a
+   band is its pivot. Two sets of similarity s miss each other in all bands with probability (1 - s^WIDTH)^BANDS (at 0.85: 3e-7).
+2. Every set is compared with the pivot of its largest band, then with the pivots of other bands that it isn't connected with yet. The share of
+   equal registers, less what unlike hashes agree by chance (``collisions``), estimates the similarity. Pairs that reach the limit less MARGIN
+   (five standard deviations) are confirmed on their full sets.
+3. Where the sets of a pivot aren't all connected by then, two others than the pivot may be linked. They are looked up by the rarest shingles in
+   which they differ from the pivot (see ``_looked_up``): not all pairs are formed. Pairs found are estimated and confirmed like the others.
 
 Equal sets are one set. A pivot is sent to its sets' tasks once for each salt.
 """
@@ -98,44 +99,47 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, n (shingles), key (hash of the set), sketch and bands of every row; the last two are null where a link is out of the question."""
+    """id, n (shingles), key (hash of the set) and sketch of every row; the sketch is null where a link is out of the question."""
     least = least_linked(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, found, keys in _sets(batch, size):
                 n = np.array([len(s) for s in found], np.int64)
-                large = n >= least
-                some = registers([s for s, keep in zip(found, large.tolist(), strict=True) if keep]) if large.any() else np.zeros((0, REGISTERS), np.uint16)
-                sketches, banded = np.full(len(n), None), np.full(len(n), None)
-                sketches[large] = [s.tobytes() for s in some]
-                banded[np.flatnonzero(large)] = _rows(bands(some))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys), pa.array(sketches.tolist(), pa.binary()), pa.array(banded.tolist(), pa.list_(pa.int64()))],
-                    names=["id", "n", "key", "sketch", "bands"],
-                )
+                sketches = np.full(len(n), None)
+                if (large := n >= least).any():
+                    sketches[large] = [r.tobytes() for r in registers([found[i] for i in np.flatnonzero(large).tolist()])]
+                columns = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys), pa.array(sketches.tolist(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", "sketch"])
 
-    return docs.mapInArrow(sketch, "id bigint, n bigint, key bigint, sketch binary, bands array<bigint>")
+    return docs.mapInArrow(sketch, "id bigint, n bigint, key bigint, sketch binary")
 
 
-def _rows(table: np.ndarray) -> np.ndarray:
-    """The rows of a table as objects."""
-    out = np.empty(len(table), object)
-    out[:] = list(table)
-    return out
+def distinct_sets(signed: DataFrame) -> DataFrame:
+    """key, id (the smallest), n and sketch of every set that may be linked; equal sets are combined before the shuffle."""
+    rows = signed.where("id IS NOT NULL AND sketch IS NOT NULL")
+    return written(rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
 
 
-def distinct_sets(signed: DataFrame) -> DataFrame:
-    """key, id (the smallest), n, sketch and bands of every set that may be linked; equal sets are combined before the shuffle."""
-    rows = signed.where("id IS NOT NULL AND bands IS NOT NULL")
-    return written(rows.groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sets")
+def _banded(sets: DataFrame) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(found.ravel())], names=["a", "band"])
+
+    return sets.select("key", "sketch").mapInArrow(cut, "a bigint, band bigint")
 
 
 def banded_pairs(sets: DataFrame) -> DataFrame:
-    """a, b: every set and the pivots of its bands."""
-    rows = sets.select(F.col("key").alias("a"), F.explode("bands").alias("band"))
-    shared = written(rows.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("y")).where("b <> y").select("band", "b"), "bands")
-    return written(rows.join(shared, "band").where("a <> b").select("a", "b").distinct(), "pairs")
+    """a, b, count: every set and the pivots of its bands, with how many sets its largest band with that pivot holds."""
+    rows = _banded(sets)
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("count")).where("count > 1"), "bands")
+    met = written(rows.join(shared, "band"), "met")
+    central = met.groupBy("a").agg(F.sum("count").alias("central"))
+    pivots = met.join(central, "a").groupBy("band").agg(F.max(F.struct("central", "a")).alias("p")).select("band", F.col("p.a").alias("b"))
+    pairs = met.join(written(pivots, "pivots"), "band").where("a <> b")
+    return written(pairs.groupBy("a", "b").agg(F.max("count").alias("count")), "pairs")
 
 
 def beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,6 +192,17 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return written(rows.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
 
 
+def _connected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs`` with the components ca and cb that ``links`` make of their sets."""
+    found = written(components(links, "a", "b"), "found")
+    named = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    # many pairs may have one b: pivots are few, their components are looked up apart
+    pivots = pairs.select("b").distinct().join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    named = named.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    salted = named.select("b", "salt").distinct().join(pivots, "b")
+    return named.join(salted, ["b", "salt"]).drop("salt").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+
+
 def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets that share a pivot, aren't connected by ``links``, and may be linked.
 
@@ -197,14 +212,15 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     are left and one more, have one in common.
     """
     q, r = 100 - percent, 100 + percent
-    found = written(components(links, "a", "b"), "found")
-    named = pairs.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).select("a", "b", "c")
-    mixed = named.groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b")
-    linked = links.select("a", "b", F.lit(True).alias("linked")).distinct()
-    among = written(named.join(mixed, "b", "left_semi").join(linked, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "mixed")
+    named = written(_connected(pairs.select("a", "b"), links), "named")
+    # a pivot's sets in several components, not counting the pivot itself
+    mixed = named.groupBy("b").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x <> y").select("b")
+    among = written(named.join(mixed, "b", "left_semi").select("a", "b", F.col("ca").alias("c")), "mixed")
     apart = F.concat(F.array_except("tokens_a", "tokens_b"), F.array_except("tokens_b", "tokens_a"))
-    rows = beside(among, full, ["tokens"]).select("a", "b", "c", "linked", F.size("tokens_a").alias("na"), F.size("tokens_b").alias("nb"), apart.alias("apart"))
-    rows = written(rows, "apart")
+    rows = beside(among, full, ["tokens"]).select("a", "b", "c", F.size("tokens_a").alias("na"), F.size("tokens_b").alias("nb"), apart.alias("apart"))
+    # similar: 100 * common >= percent * union, where union - common = |D|
+    similar = (F.col("na") + F.col("nb")) * q >= F.size("apart") * r
+    rows = written(rows.withColumn("linked", similar), "apart")
     elements = rows.select("a", "b", F.explode("apart").alias("token"))
     counts = elements.groupBy("b", "token").count().where("count > 1")
     lists = elements.join(counts, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
@@ -214,14 +230,16 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     def side(which: DataFrame, common: Column, asks: bool) -> DataFrame:
         # what no other set of the pivot has comes first in order, and can't meet
         taken = F.greatest(F.lit(0), d - F.greatest(F.lit(1), common) + 1 - (d - F.size("t"))).cast("int")
-        return which.select("a", "b", "c", "na", F.lit(asks).alias("asks"), F.explode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("token"))
+        return which.select("a", "b", "c", "na", d.alias("d"), F.lit(asks).alias("asks"), F.explode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("token"))
 
     asking = side(keyed.where("NOT linked"), d - F.floor(q * F.col("na") / percent), True)
     keyed = written(asking.unionByName(side(keyed, F.floor((r * d + q * (F.col("nb") - F.col("na"))) / (2 * r)) + 1, False)), "keyed")
     several = keyed.groupBy("b", "token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b", "token")
     met = written(keyed.join(several, ["b", "token"], "left_semi"), "met")
-    right = met.where("NOT asks").select("b", "token", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"))
-    both = met.where("asks").join(right, ["b", "token"]).where(f"c <> cy AND 100 * na >= {percent} * ny AND 100 * ny >= {percent} * na")
+    right = met.where("NOT asks").select("b", "token", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("d").alias("dy"))
+    # linked sets are of like size, and as far from the pivot but for what they differ in
+    alike = f"100 * na >= {percent} * ny AND 100 * ny >= {percent} * na AND abs(d - dy) * {r} <= {q} * (na + ny)"
+    both = met.where("asks").join(right, ["b", "token"]).where(f"c <> cy AND {alike}")
     return written(both.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "looked_up")
 
 
@@ -230,9 +248,12 @@ def linked(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     pairs = banded_pairs(sets)
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
     full = written(_shingled(docs, sets.select("key", "id").join(wanted, "key", "left_semi"), size), "full")
-    first = _confirmed(written(likely(pairs, sets, percent), "likely"), full, percent)
-    more = _looked_up(pairs, first, full, percent)
-    return first.unionByName(_confirmed(written(likely(more, sets, percent), "likely"), full, percent))
+    closest = written(pairs.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", "m.b"), "closest")
+    links = _confirmed(written(likely(closest, sets, percent), "likely"), full, percent)
+    rest = _connected(pairs.select("a", "b"), links).where("ca <> cb").select("a", "b").join(closest, ["a", "b"], "left_anti")
+    links = links.unionByName(_confirmed(written(likely(written(rest, "rest"), sets, percent), "likely"), full, percent))
+    more = _looked_up(pairs, links, full, percent)
+    return links.unionByName(_confirmed(written(likely(more, sets, percent), "likely"), full, percent))
 
 
 def deduplicated(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 85) -> DataFrame:
