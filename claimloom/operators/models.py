@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from claimloom.functions import fixed_values as fixed
 from claimloom.functions.numeric import half_up
 from claimloom.functions.quantiles import exact_quantiles
+from claimloom.operators import tree_search
 from claimloom.operators.attribution import reason_text
-from claimloom.sources.scratch import new_path
+from claimloom.sources import registry
+from claimloom.sources.scratch import new_path, written
 
 SEED = 42
 HASH_SPACE = 1_000_000
@@ -140,29 +142,57 @@ class Fitted:
     params: dict
 
 
+#: Labelled rows that a model is fitted on: all of a smaller table, else those first by a hash of the claim.
+FIT_ROWS = 20_000
+
+
+def fit_rows(train: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """At most ``limit`` rows, written: what a fit reads in every pass."""
+    return written(train.orderBy(hash_place(F.col("claim_id"), "fit"), "claim_id").limit(limit), "fit_rows").repartition(train.sparkSession.sparkContext.defaultParallelism)
+
+
 def search(candidate: Candidate, train: DataFrame, n_draws: int, folds: int = 5, parallelism: int = 4) -> Fitted:
-    """Random search by F1 of the denied class over stratified folds, then the final fit.
+    """Random search by F1 of the denied class over stratified folds, then the final fit on FIT_ROWS.
 
-    Boosted trees refit with a validation share that stops them early.
+    Tree ensembles are scored by ``tree_search``, others by Spark's cross-validation. Boosted trees stop early by the validation rows. A model
+    that was fitted for the same rows and setting is loaded.
     """
+    setting = {"grid": candidate.grid, "draws": n_draws, "folds": folds, "limits": [FIT_ROWS, tree_search.SEARCH_ROWS], "seed": SEED}
+
+    def fit() -> tuple[PipelineModel, dict]:
+        rows = fit_rows(train)
+        by_trees = isinstance(candidate.estimator, (GBTClassifier, RandomForestClassifier))
+        model, f1, params = (_tree_fit if by_trees else _cross_validated)(candidate, rows, n_draws, folds, parallelism)
+        return model, {"cv_f1": f1, "params": params}
+
+    model, notes = registry.fitted(train.sparkSession, candidate.name, setting, train, fit)
+    return Fitted(candidate.name, model, notes["cv_f1"], notes["params"])
+
+
+def _tree_fit(candidate: Candidate, rows: DataFrame, n_draws: int, folds: int, parallelism: int) -> tuple[PipelineModel, float, dict]:
+    settings = draws(candidate.grid, n_draws)
+    defaults = {k: candidate.estimator.getOrDefault(k) for k in ("maxDepth", "minInstancesPerNode", "subsamplingRate", "minInfoGain")}
+    more = {"maxIter": candidate.estimator.getMaxIter(), "stepSize": candidate.estimator.getStepSize()} if candidate.early_stop else {"numTrees": 20, "featureSubsetStrategy": "sqrt"}
+    sample = tree_search.sampled(rows, fixed.FEATURES, hash_place(F.col("claim_id"), "search"))
+    scored = tree_search.scores(rows.sparkSession, sample, [{**defaults, **more, **s} for s in settings], folds, candidate.early_stop, SEED)
+    best = scored.orderBy(F.desc("cv_f1"), "setting").first()
+    final = candidate.estimator.copy()
+    final.setParams(**settings[best.setting], **({"validationIndicatorCol": "is_validation"} if candidate.early_stop else {}))
+    return _pipeline(candidate, final).fit(rows), float(best.cv_f1), settings[best.setting]
+
+
+def _cross_validated(candidate: Candidate, rows: DataFrame, n_draws: int, folds: int, parallelism: int) -> tuple[PipelineModel, float, dict]:
     estimator = candidate.estimator.copy()
     if candidate.inverse_penalty:
-        estimator.setParams(regParam=1 / (candidate.inverse_penalty * max(1, train.count())))
-    pipeline = _pipeline(candidate, estimator)
+        estimator.setParams(regParam=1 / (candidate.inverse_penalty * max(1, rows.count())))
     settings = draws(candidate.grid, n_draws)
     maps = [{estimator.getParam(k): v for k, v in setting.items()} for setting in settings] or ParamGridBuilder().build()
     scorer = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=0.0)
     cv = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED
-    ).fit(train)
+        estimator=_pipeline(candidate, estimator), estimatorParamMaps=maps, evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED
+    ).fit(rows)
     best = int(np.argmax(cv.avgMetrics))
-    params = settings[best] if settings else {}
-    model = cv.bestModel
-    if candidate.early_stop:
-        final = candidate.estimator.copy()
-        final.setParams(validationIndicatorCol="is_validation", **params)
-        model = _pipeline(candidate, final).fit(train)
-    return Fitted(candidate.name, model, float(cv.avgMetrics[best]), params)
+    return cv.bestModel, float(cv.avgMetrics[best]), settings[best] if settings else {}
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -329,23 +359,75 @@ def shapley_of_leaf(x: np.ndarray, value: float, bounds: dict, out: np.ndarray)
         out[:, f] += value * (inside[i] - share[i]) * total
 
 
+#: Rows and leaves whose contributions are worked out together.
+ROWS_AT_ONCE, LEAVES_AT_ONCE = 256, 512
+
+
+def _leaf_tables(leaves: list[Leaf]) -> list[tuple[np.ndarray, ...]]:
+    """Leaves with equally many features on their path as arrays: features, low and high bounds, cover shares, values."""
+    by_size: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        if leaf[1]:
+            by_size.setdefault(len(leaf[1]), []).append(leaf)
+    out = []
+    for same in by_size.values():
+        for i in range(0, len(same), LEAVES_AT_ONCE):
+            part = same[i : i + LEAVES_AT_ONCE]
+            low, high, share = (np.array([[b[k] for b in bounds.values()] for _, bounds in part]) for k in range(3))
+            out.append((np.array([list(bounds) for _, bounds in part]), low, high, share, np.array([value for value, _ in part])))
+    return out
+
+
+def shapley_of_leaves(x: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray, value: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of a table of leaves to ``out``, in (leaves x path length squared) steps for a row.
+
+    As in ``shapley_of_leaf``, but the product over all of a path's factors ``share + inside z`` is formed once, and each feature's own factor is divided out of it.
+    """
+    m = features.shape[1]
+    at = x[:, features]
+    inside = ((at > low) & (at <= high)).astype(np.float64)
+    product = np.zeros((m + 1, *inside.shape[:2]))
+    product[0] = 1.0
+    for j in range(m):
+        product[1 : j + 2] = share[:, j] * product[1 : j + 2] + inside[:, :, j] * product[: j + 1]
+        product[0] *= share[:, j]
+    weight = [1 / m]
+    for size in range(1, m):
+        weight.append(weight[-1] * size / (m - size))
+    for i in range(m):
+        held = inside[:, :, i] > 0
+        # by share + z from the highest power down, or by share alone
+        q, total = product[m], weight[m - 1] * np.where(held, product[m], product[m - 1] / share[:, i])
+        for d in range(m - 1, 0, -1):
+            q = product[d] - share[:, i] * q
+            total = total + weight[d - 1] * np.where(held, q, product[d - 1] / share[:, i])
+        given = value * (inside[:, :, i] - share[:, i]) * total
+        for feature in np.unique(features[:, i]):
+            out[:, feature] += given[:, features[:, i] == feature].sum(axis=1)
+
+
 def tree_attribution(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Exact Shapley values of a forest's P(approved) or of boosted trees' margin: one column ``shap_<feature>`` each, and
-    ``base``, the value without any feature known."""
-    leaves = ensemble_leaves(model, df.sparkSession)
+    """Exact path-dependent Shapley values of a forest's P(approved) or of boosted trees' margin: one column ``shap_<feature>`` each, and
+    ``base``, the value without any feature known. The leaves are broadcast: as many as the fitted trees have, whatever the number of claims."""
+    spark = df.sparkSession
+    leaves = ensemble_leaves(model, spark)
     names = [f"shap_{f}" for f in fixed.FEATURES]
     base = float(sum(value * np.prod([b[2] for b in bounds.values()]) for value, bounds in leaves))
+    shipped = spark.sparkContext.broadcast(_leaf_tables(leaves))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[fixed.FEATURES].to_numpy(dtype=np.float64)
             out = np.zeros_like(x)
-            for value, bounds in leaves:
-                shapley_of_leaf(x, value, bounds, out)
+            for start in range(0, len(x), ROWS_AT_ONCE):
+                for table in shipped.value:
+                    shapley_of_leaves(x[start : start + ROWS_AT_ONCE], *table, out[start : start + ROWS_AT_ONCE])
             yield pd.concat([batch[["claim_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1).assign(base=base)
 
     schema = "claim_id string, " + ", ".join(f"{n} double" for n in names) + ", base double"
-    return df.select("claim_id", *[F.col(f).cast("double").alias(f) for f in fixed.FEATURES]).mapInPandas(explain, schema)
+    rows = df.select("claim_id", *[F.col(f).cast("double").alias(f) for f in fixed.FEATURES])
+    # few files would leave most cores idle: the work for a row is large
+    return rows.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(explain, schema)
 
 
 def additivity(df: DataFrame, model: PipelineModel, name: str, tolerance: float = 1e-9) -> DataFrame:

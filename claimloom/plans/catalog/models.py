@@ -1,7 +1,8 @@
 """Model training, evaluation and attribution queries.
 
-Trained models run their whole search here: every draw of DRAWS over the grids of ``models.candidates``, five stratified
-folds and all training rows.
+Trained models run their whole search here: every draw of DRAWS over the grids of ``models.candidates`` and five stratified
+folds, on at most ``models.FIT_ROWS`` training rows (tree ensembles are searched on ``tree_search.SEARCH_ROWS`` of them). A model is fitted once for
+the same rows and setting, and loaded by the other queries.
 """
 
 from __future__ import annotations
@@ -68,12 +69,19 @@ def _inference(s):
 
 def _tree_attribution(s):
     df = frame(s)
-    return m.tree_attribution(df, fit(df, "random_forest").model)
+    return m.tree_attribution(df, fit(df, "boosted_trees").model)
+
+
+def _shallow_forest(df):
+    """A forest small enough to explain for every claim: the searched one has leaves by the hundred thousand."""
+    shallow = _find("random_forest")
+    shallow.grid = {"numTrees": [50], "maxDepth": [5]}
+    return m.search(shallow, df.where("is_train"), 1, N_FOLDS)
 
 
 def _additivity(s):
     df = frame(s)
-    return m.additivity(df, fit(df, "random_forest").model, "random_forest").unionAll(m.additivity(df, fit(df, "boosted_trees").model, "boosted_trees"))
+    return m.additivity(df, _shallow_forest(df).model, "random_forest").unionAll(m.additivity(df, fit(df, "boosted_trees").model, "boosted_trees"))
 
 
 def _rule_predictions(s):
