@@ -87,3 +87,25 @@ def test_stages_do_what_brute_force_does(spark):
 
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
+
+
+def test_one_row_of_an_id_and_of_equal_texts_without_id_stays(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    long, other = ("some words that make a document long enough to compare " * 3).strip(), "another text that nothing else in this small table is like at all"
+    rows = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (2, other, "en", "b", 9), (2, other + " ever", "en", "b", 9), (None, long, "en", "c", 9)]
+    rows += [(None, "free text without an id", "en", s, 9) for s in "xyz"] + [(None, "", None, "n", 0), (None, "", None, "n", 0), (None, None, None, "n", None)]
+    table = spark.createDataFrame(rows, docs.schema)
+    kept = corpus_pipeline.drop_near_copies(spark, table, FOLDER).collect()
+    assert Counter(d.doc_id for d in kept) == {1: 1, 2: 1, None: 4}
+    assert sorted(str(d.text) for d in kept if d.doc_id is None) == ["", "", "None", "free text without an id"]
+
+
+def test_columns_that_stages_add_don_t_meet_columns_of_the_input(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["score", "similarity", "rejected", "lang_pred", "n_words", "removal", "hit_items", "findings", "slot", "count", "id", "size"]
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = written(stage(spark, wide, FOLDER), f"wide_{name}")
+        assert wide.columns == [*docs.columns, *names]
+        assert wide.where(" OR ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count() == 0
+    assert corpus_pipeline.pack_bins(spark, wide, FOLDER).columns == corpus_pipeline.pack_bins(spark, docs, FOLDER).columns
