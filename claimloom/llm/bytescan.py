@@ -69,7 +69,9 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.data, self.start, self.end = data, edges[0::2], edges[1::2]
         powers, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
-        self._sums, self._inverse = np.cumsum(_byte_values()[data] * powers[: len(data)]), inverse
+        sums = _byte_values()[data]
+        sums *= powers[: len(data)]
+        self._sums, self._inverse = np.cumsum(sums, out=sums), inverse
         self.hash = self._hashed(self.start, self.end)
         first = np.searchsorted(self.start, self.text_start)
         #: Words of text i are first[i]:first[i + 1].

@@ -124,7 +124,9 @@ def _occurrences(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict
         if len(at):
             owner, place = doc[at], at - words.first[:-1][doc[at]]
             shard.append(np.stack((np.where(at < 0, 1, ids[at]), owner + a, place, words.start[at], words.end[at])))
-            kept.append((a, words, np.unique(owner[at >= 0])))
+            for d in np.unique(owner[at >= 0]).tolist():
+                own, begin = slice(words.first[d], words.first[d + 1]), words.text_start[d]
+                kept.append((d + a, words.start[own] - begin, words.end[own] - begin))
     found: dict[int, tuple[list, list]] = {}
     if not shard:
         return n_words, found
@@ -143,19 +145,15 @@ def _occurrences(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict
         hits.append(np.unique(np.stack((np.repeat(pairs[0], many), item)), axis=1))
     every, items = np.concatenate(spans, axis=1), np.unique(np.concatenate(hits, axis=1), axis=1)
     every = every[:, np.argsort(every[0], kind="stable")]
-    for a, words, docs in kept:
-        for d in docs.tolist():
-            lo, hi = np.searchsorted(every[0], [d + a, d + a + 1])
-            if lo == hi:
-                continue
-            w0, w1 = _merged(every[1, lo:hi], every[2, lo:hi])
-            starts, ends = words.start[words.first[d] + w0], words.end[words.first[d] + w1 - 1]
-            begin = int(words.text_start[d])
-            data = words.data[begin : begin + len(texts[d + a])]
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            i, j = np.searchsorted(items[0], [d + a, d + a + 1])
-            spans_of = zip(w0.tolist(), w1.tolist(), chars[starts - begin].tolist(), chars[ends - begin].tolist(), strict=True)
-            found[d + a] = list(spans_of), [phrases.items[k] for k in items[1, i:j]]
+    for d, starts, ends in kept:
+        lo, hi = np.searchsorted(every[0], [d, d + 1])
+        if lo == hi:
+            continue
+        w0, w1 = _merged(every[1, lo:hi], every[2, lo:hi])
+        chars = np.concatenate(([0], np.cumsum((np.frombuffer(texts[d], np.uint8) & 0xC0) != 0x80)))
+        i, j = np.searchsorted(items[0], [d, d + 1])
+        spans_of = zip(w0.tolist(), w1.tolist(), chars[starts[w0]].tolist(), chars[ends[w1 - 1]].tolist(), strict=True)
+        found[d] = list(spans_of), [phrases.items[k] for k in items[1, i:j]]
     return n_words, found
 
 
