@@ -127,7 +127,8 @@ def _shared_sets(rows: DataFrame, signed: DataFrame, size: int, percent: int) ->
 
     Copies each have their set's shared shingles, so counts are divided by the number of copies.
     """
-    tokens = _least(rows.where("id IS NOT NULL"), size, percent).repartition("token")
+    # conditions that the joins add to one use of the shuffle stand here, so that both uses are one shuffle of one scan
+    tokens = _least(rows.where("id IS NOT NULL"), size, percent).where("token IS NOT NULL AND key IS NOT NULL").repartition("token")
     owner = F.when(F.col("known") <= 0, F.col("key"))
     shared = tokens.groupBy("token").agg(F.min(owner).alias("x"), F.max(owner).alias("y")).where("x <> y").select("token", F.lit(1).alias("met"))
     credit = F.when(F.col("known") > 0, F.col("known")).when((F.col("known") < 0) & F.col("met").isNotNull(), 1).otherwise(0)
