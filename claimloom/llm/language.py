@@ -18,22 +18,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from claimloom.llm.bytescan import mix
 
-DIMENSIONS = 512
+DIMENSIONS = 2048
 NGRAM = 3
 #: Sharpness of the score, a softmax of the cosines.
 SHARPNESS = 20.0
-#: A text whose best cosine is lower resembles no learned language.
-LEAST_SIMILARITY = 0.05
+#: How often a text that has no n-gram in common with any learned language may pass for one of them.
+CHANCE = 1e-3
+#: What share of a language's own texts the bound for a length may reject; a length with fewer than its inverse of texts has none.
+LOSS = 1e-3
 #: More labelled languages than this are an error, so that the prototypes stay small.
 MOST_LANGUAGES = 5000
 UNKNOWN = "und"
 
+_LENGTH = "__length"
+
 _EDGE = 32
-_GROUP, _GRAMS = 96, 16_384
+_GROUP, _GRAMS, _ROWS = 96, 2048, 1024
 
 
 @lru_cache(maxsize=1)
@@ -100,12 +104,11 @@ def prototypes(labelled: DataFrame, text: str, lang: str, dimensions: int = DIME
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            by: dict[str, list] = {}
-            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(_grams(t))
-            for name, grams in by.items():
-                for a in range(0, len(grams), 1024):
-                    some = grams[a : a + 1024]
+            for a in range(0, len(batch), _ROWS):
+                rows, by = batch.slice(a, _ROWS), {}
+                for t, name in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    by.setdefault(name, []).append(_grams(t))
+                for name, some in by.items():
                     codes, at = np.unique(np.concatenate([g for g, _ in some]), return_inverse=True)
                     n = np.bincount(at, weights=np.concatenate([c for _, c in some]), minlength=len(codes))
                     for b in range(0, len(codes), _GRAMS):
@@ -125,37 +128,72 @@ def prototypes(labelled: DataFrame, text: str, lang: str, dimensions: int = DIME
     return {r.lang: np.array([x.v for x in r.v], np.float64) for r in sorted(found, key=lambda r: r.lang)}
 
 
-def identified(docs: DataFrame, text: str, learned: dict[str, np.ndarray], least: float = LEAST_SIMILARITY) -> DataFrame:
+def together(*learned: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Prototypes of several sets of rows as those of all of them."""
+    return {name: sum(p[name] for p in learned if name in p) for name in sorted(set().union(*learned))}
+
+
+def noise(learned: dict[str, np.ndarray], chance: float = CHANCE) -> float:
+    """The cosine that a text without common n-grams exceeds with some prototype with at most this chance.
+
+    Its vector is one of random signs to the prototypes: a cosine exceeds t with a chance of at most exp(-t * t * dimensions / 2).
+    """
+    dimensions = len(next(iter(learned.values()))) if learned else 1
+    return float(np.sqrt(2 * np.log(max(1, len(learned)) / chance) / dimensions))
+
+
+def bounds(labelled: DataFrame, text: str, lang: str, learned: dict[str, np.ndarray], loss: float = LOSS) -> dict[int, float]:
+    """By length (the binary digits of a text's number of n-grams) the cosine that all but ``loss`` of the learned languages' texts reach.
+
+    The rows should be others than those learned from. Lengths with fewer than 1 / loss of such rows aren't in it; an empty table gives none.
+    """
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isin(list(learned)))
+    found = _likened(rows, "text", learned).where(F.col("lang_pred") != UNKNOWN)
+    by = found.groupBy(_LENGTH).agg(F.count("*").alias("n"), F.percentile_approx("similarity", loss, 10_000).alias("least"))
+    return {r[_LENGTH]: r.least for r in by.where(F.col("n") * loss >= 1).collect()}  # 64 rows at most
+
+
+def identified(docs: DataFrame, text: str, learned: dict[str, np.ndarray], least: dict[int, float] | None = None) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), similarity (best cosine) and rejected.
 
+    Rejected is a text whose similarity is at the level of noise, or below that of ``least`` for its length.
     A null text, an empty one and one without a letter are ``und`` with score 0, and rejected; so is
-    every text if nothing was learned. Columns of these names in ``docs`` are replaced. Ties go to the
-    language first in the alphabet. Repeated rows get the same answer.
+    every text if nothing was learned. A very long text is judged whole. Columns of these names in ``docs`` are replaced. Ties go to the
+    language first in the alphabet. Repeated rows get the same answer. An empty table gives none.
     """
+    floor = noise(learned)
+    bound = F.lit(floor)
+    for length, b in (least or {}).items():
+        bound = F.when(F.col(_LENGTH) == length, max(floor, b)).otherwise(bound)
+    return _likened(docs, text, learned).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("similarity") < bound)).drop(_LENGTH)
+
+
+def _likened(docs: DataFrame, text: str, learned: dict[str, np.ndarray]) -> DataFrame:
+    """``docs`` with lang_pred, score, similarity and the length class."""
     names = list(learned)
     matrix = np.stack([v / max(np.linalg.norm(v), 1e-12) for v in learned.values()]) if names else None
     dimensions = matrix.shape[1] if names else 0
-    new = ["lang_pred", "score", "similarity", "rejected"]
-    kept = docs.drop(*new)
+    new = ["lang_pred", "score", "similarity", _LENGTH]
+    kept = docs.drop(*new, "rejected")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            lang, score, best = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            lang, score, best, length = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
             for a in range(0, len(texts) if names else 0, _GROUP):
                 grams = [_grams(t) for t in texts[a : a + _GROUP]]
                 v = _bundles(grams, dimensions)
                 cosines = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
                 top = cosines.argmax(axis=1)
                 odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
-                for i, (g, _) in enumerate(grams):
+                for i, (g, n) in enumerate(grams):
                     if len(g):
+                        length[a + i] = int(n.sum()).bit_length()
                         lang[a + i], score[a + i], best[a + i] = names[top[i]], odds[i, top[i]] / odds[i].sum(), cosines[i, top[i]]
-            rejected = [name == UNKNOWN or s < least for name, s in zip(lang, best, strict=True)]
-            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(rejected, pa.bool_())]
+            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(length)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
-    kinds = [StringType(), DoubleType(), DoubleType(), BooleanType()]
+    kinds = [StringType(), DoubleType(), DoubleType(), IntegerType()]
     out = StructType([*kept.schema.fields, *(StructField(n, k) for n, k in zip(new, kinds, strict=True))])
     return kept.mapInArrow(predict, out)
 
