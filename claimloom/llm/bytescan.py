@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes scanned together; one longer text is scanned alone.
-BLOCK = (2 << 20) - 65_536
+BLOCK = (1 << 20) - 65_536
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,6 +37,10 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _P)
 
 
+#: Rows whose texts are in memory as Python objects at once.
+ROWS = 1000
+
+
 def encoded(texts: list[str | None]) -> list[bytes]:
     """UTF-8 with A-Z lower-cased (other letters stay); null becomes empty."""
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
@@ -53,6 +58,14 @@ def blocks(blobs: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(blobs)
 
 
+def sliced(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Where each block of a column's texts begins, and the texts encoded."""
+    for at in range(0, len(column), ROWS):
+        blobs = encoded(column.slice(at, ROWS).to_pylist())
+        for a, b in blocks(blobs):
+            yield at + a, blobs[a:b]
+
+
 class Words:
     """The words of a block of texts: hash and byte range of each, and how many each text has.
 
@@ -68,7 +81,7 @@ class Words:
         inside = word_bytes[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         self.data, self.start, self.end = data, edges[0::2], edges[1::2]
-        powers, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
+        powers, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
         sums = _byte_values()[data]
         sums *= powers[: len(data)]
         self._sums, self._inverse = np.cumsum(sums, out=sums), inverse

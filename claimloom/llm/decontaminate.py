@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from claimloom.llm.bytescan import Words, alphanumeric, blocks, encoded
+from claimloom.llm.bytescan import Words, alphanumeric, blocks, encoded, sliced
 from claimloom.llm.fm_index import FMIndex
 from claimloom.sources.scratch import written
 
@@ -113,20 +113,20 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))]
 
 
-def _occurrences(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int, tuple[list[tuple], list[str]]]]:
+def _occurrences(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, dict[int, tuple[list[tuple], list[str]]]]:
     """Words of each text; for texts with a hit, the merged spans and the items found."""
-    n_words, kept, shard = np.zeros(len(texts), np.int64), [], []
-    for a, b in blocks(texts):
-        words = Words(texts[a:b], alphanumeric())
-        n_words[a:b] = words.count
-        doc = np.repeat(np.arange(b - a), words.count)
+    n_words, kept, shard = np.zeros(len(column), np.int64), [], []
+    for a, texts in sliced(column):
+        words = Words(texts, alphanumeric())
+        n_words[a : a + len(texts)] = words.count
+        doc = np.repeat(np.arange(len(texts)), words.count)
         at = _stretches(ids := phrases.numbered(words.hash), doc, phrases) if len(words.hash) else np.zeros(0, np.int64)
         if len(at):
             owner, place = doc[at], at - words.first[:-1][doc[at]]
             shard.append(np.stack((np.where(at < 0, 1, ids[at]), owner + a, place, words.start[at], words.end[at])))
             for d in np.unique(owner[at >= 0]).tolist():
                 own, begin = slice(words.first[d], words.first[d + 1]), words.text_start[d]
-                kept.append((d + a, words.start[own] - begin, words.end[own] - begin))
+                kept.append((d + a, texts[d], words.start[own] - begin, words.end[own] - begin))
     found: dict[int, tuple[list, list]] = {}
     if not shard:
         return n_words, found
@@ -145,12 +145,12 @@ def _occurrences(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict
         hits.append(np.unique(np.stack((np.repeat(pairs[0], many), item)), axis=1))
     every, items = np.concatenate(spans, axis=1), np.unique(np.concatenate(hits, axis=1), axis=1)
     every = every[:, np.argsort(every[0], kind="stable")]
-    for d, starts, ends in kept:
+    for d, blob, starts, ends in kept:
         lo, hi = np.searchsorted(every[0], [d, d + 1])
         if lo == hi:
             continue
         w0, w1 = _merged(every[1, lo:hi], every[2, lo:hi])
-        chars = np.concatenate(([0], np.cumsum((np.frombuffer(texts[d], np.uint8) & 0xC0) != 0x80)))
+        chars = np.concatenate(([0], np.cumsum((np.frombuffer(blob, np.uint8) & 0xC0) != 0x80)))
         i, j = np.searchsorted(items[0], [d, d + 1])
         spans_of = zip(w0.tolist(), w1.tolist(), chars[starts[w0]].tolist(), chars[ends[w1 - 1]].tolist(), strict=True)
         found[d] = list(spans_of), [phrases.items[k] for k in items[1, i:j]]
@@ -186,15 +186,15 @@ def _pass(text: str, phrases: Phrases | None, new: list[str], arrow_spans: pa.Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            column = batch.column(batch.schema.get_field_index(text))
             if phrases is None:
-                n_words, found = np.zeros(len(texts), np.int64), {}
-                for a, b in blocks(texts):
-                    n_words[a:b] = Words(texts[a:b], alphanumeric()).count
+                n_words, found = np.zeros(len(batch), np.int64), {}
+                for a, texts in sliced(column):
+                    n_words[a : a + len(texts)] = Words(texts, alphanumeric()).count
             else:
-                n_words, found = _occurrences(texts, phrases)
-            spans = [found.get(i, ([], []))[0] for i in range(len(texts))]
-            items = [found.get(i, ([], []))[1] for i in range(len(texts))]
+                n_words, found = _occurrences(column, phrases)
+            spans = [found.get(i, ([], []))[0] for i in range(len(batch))]
+            items = [found.get(i, ([], []))[1] for i in range(len(batch))]
             if new[1] in batch.schema.names:
                 for i, (old, ids) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in new[1:]), strict=True)):
                     if old:

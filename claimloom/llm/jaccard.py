@@ -26,15 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.bytescan import Words, blocks, encoded, mix, shingles, spaced
+from claimloom.llm.bytescan import Words, mix, shingles, sliced, spaced
 from claimloom.llm.components import components
 from claimloom.sources.scratch import written
 
 
-#: Rows whose texts are in memory as Python objects at once.
-ROWS = 1000
-
-
 def _need(n, percent: int):
     """The fewest shingles that a set of n has in common with a linked one."""
     return (n * percent + 99) // 100
@@ -46,12 +42,10 @@ def _slack(n):
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """For a block of rows: its range, their shingles, and the hash of each set (0 of an empty one)."""
-    for at in range(0, len(batch), ROWS):
-        blobs = encoded(batch.column(1).slice(at, ROWS).to_pylist())
-        for a, b in blocks(blobs):
-            found = shingles(Words(blobs[a:b], spaced()), size)
-            keys = [int((mix(s).sum() + np.uint64(len(s))).view(np.int64)) if len(s) else 0 for s in found]
-            yield at + a, at + b, found, np.array(keys, np.int64)
+    for at, blobs in sliced(batch.column(1)):
+        found = shingles(Words(blobs, spaced()), size)
+        keys = [int((mix(s).sum() + np.uint64(len(s))).view(np.int64)) if len(s) else 0 for s in found]
+        yield at, at + len(blobs), found, np.array(keys, np.int64)
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:

@@ -37,7 +37,7 @@ UNKNOWN = "und"
 _LENGTH = "__length"
 
 _EDGE = 32
-_GROUP, _GRAMS, _ROWS = 96, 2048, 1024
+_GROUP, _GRAMS, _ROWS = 96, 1024, 1024
 
 
 @lru_cache(maxsize=1)
@@ -178,10 +178,10 @@ def _likened(docs: DataFrame, text: str, learned: dict[str, np.ndarray]) -> Data
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            lang, score, best, length = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
-            for a in range(0, len(texts) if names else 0, _GROUP):
-                grams = [_grams(t) for t in texts[a : a + _GROUP]]
+            texts, rows = batch.column(batch.schema.get_field_index(text)), len(batch)
+            lang, score, best, length = [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int32)
+            for a in range(0, rows if names else 0, _GROUP):
+                grams = [_grams(t) for t in texts.slice(a, _GROUP).to_pylist()]
                 v = _bundles(grams, dimensions)
                 cosines = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
                 top = cosines.argmax(axis=1)
