@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import chat, decontaminate, hard_negatives, hyperminhash, jaccard, language, neighbours, packing, periodic, personal, quality, secrets, toxicity
+from claimloom.sources.scratch import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    model = secrets.forest(secrets.labelled_by_format(secrets.candidates(docs, "text", "source")))
-    found = secrets.judged(docs, "text", "source", model)
+    proposed = written(secrets.candidates(docs, "text", "source").select("doc_id", "candidates"), "candidates")
+    learned = proposed.where(~language.held_out(F.col("doc_id"), 3, 1))
+    found = secrets.voted(proposed, secrets.forest(secrets.labelled_by_format(learned), secrets.examples(spark)))
     return found.select("doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
 
 
