@@ -29,6 +29,7 @@ from claimloom.functions.numeric import half_up
 from claimloom.functions.quantiles import exact_quantiles
 from claimloom.operators import tree_search
 from claimloom.operators.attribution import reason_text
+from claimloom.operators.kernel import RandomFourierFeatures
 from claimloom.sources import registry
 from claimloom.sources.scratch import new_path, written
 
@@ -104,6 +105,8 @@ class Candidate:
     early_stop: bool = False
     #: Inverse strength of the penalty over all rows together; Spark's is per row.
     inverse_penalty: float | None = None
+    #: Radial kernel by random Fourier features; the grid holds C and gamma.
+    kernel: bool = False
 
 
 def candidates() -> list[Candidate]:
@@ -117,15 +120,24 @@ def candidates() -> list[Candidate]:
             {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "0.5"], "minInfoGain": [0.0, 0.001], "subsamplingRate": [0.8, 1.0]},
         ),
         Candidate("boosted_trees", GBTClassifier(featuresCol="features", seed=SEED, validationTol=0.001, **common), boost, early_stop=True),
-        Candidate("linear_svc", LinearSVC(featuresCol="features", maxIter=50, **common), {"regParam": [0.0001, 0.001, 0.01, 0.1]}, scaled=True),
+        Candidate(
+            "kernel_svc", LinearSVC(featuresCol="features", maxIter=50, standardization=False, **common),
+            {"C": [0.01, 0.1, 1.0, 10.0, 50.0, 100.0], "gamma": ["scale", "auto", 0.001, 0.01, 0.1]}, scaled=True, kernel=True,
+        ),
         Candidate("boosted_trees_leafy", GBTClassifier(featuresCol="features", seed=SEED, validationTol=0.001, **common), leafy, early_stop=True),
     ]
 
 
-def _pipeline(candidate: Candidate, estimator) -> Pipeline:
+def linear_margin() -> Candidate:
+    """The margin without a kernel; the board has the one with it."""
+    estimator = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)
+    return Candidate("linear_svc", estimator, {"regParam": [0.0001, 0.001, 0.01, 0.1]}, scaled=True)
+
+
+def _pipeline(candidate: Candidate, estimator, kernel: RandomFourierFeatures | None = None) -> Pipeline:
     assembled = VectorAssembler(inputCols=fixed.FEATURES, outputCol="raw_features" if candidate.scaled else "features")
-    scaler = [StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)] if candidate.scaled else []
-    return Pipeline(stages=[assembled, *scaler, estimator])
+    scaler = [StandardScaler(inputCol="raw_features", outputCol="scaled_features" if kernel else "features", withMean=True)] if candidate.scaled else []
+    return Pipeline(stages=[assembled, *scaler, *([kernel] if kernel else []), estimator])
 
 
 def draws(grid: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
@@ -162,7 +174,7 @@ def search(candidate: Candidate, train: DataFrame, n_draws: int, folds: int = 5,
     def fit() -> tuple[PipelineModel, dict]:
         rows = fit_rows(train)
         by_trees = isinstance(candidate.estimator, (GBTClassifier, RandomForestClassifier))
-        model, f1, params = (_tree_fit if by_trees else _cross_validated)(candidate, rows, n_draws, folds, parallelism)
+        model, f1, params = (_tree_fit if by_trees else _kernel_fit if candidate.kernel else _cross_validated)(candidate, rows, n_draws, folds, parallelism)
         return model, {"cv_f1": f1, "params": params}
 
     model, notes = registry.fitted(train.sparkSession, candidate.name, setting, train, fit)
@@ -195,6 +207,35 @@ def _cross_validated(candidate: Candidate, rows: DataFrame, n_draws: int, folds:
     return cv.bestModel, float(cv.avgMetrics[best]), settings[best] if settings else {}
 
 
+def _kernel_fit(candidate: Candidate, rows: DataFrame, n_draws: int, folds: int, parallelism: int) -> tuple[PipelineModel, float, dict]:
+    """Settings of C and gamma are scored on ``tree_search.SEARCH_ROWS`` rows, scaled and mapped once, the chosen one is fitted on all. On scaled features "scale" and "auto" are 1 / width."""
+    width = len(fixed.FEATURES)
+    kernel = RandomFourierFeatures(inputCol="scaled_features", outputCol="features", width=width, seed=SEED)
+    estimator = candidate.estimator.copy()
+    settings = draws(candidate.grid, n_draws)
+
+    def gamma(setting: dict) -> float:
+        return 1 / width if isinstance(setting["gamma"], str) else setting["gamma"]
+
+    def penalty(setting: dict, n: float) -> float:
+        return 1 / (setting["C"] * max(1, n))
+
+    sample = fit_rows(rows, tree_search.SEARCH_ROWS)
+    n = sample.count() * (folds - 1) / folds
+    scaled = Pipeline(stages=_pipeline(candidate, estimator, kernel).getStages()[:2]).fit(sample).transform(sample)
+    scorer = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=0.0)
+    metrics = {}
+    for g in sorted({gamma(x) for x in settings}):
+        mapped = written(kernel.copy({kernel.gamma: g}).transform(scaled).select("features", "label", "weight", "fold"), "mapped").coalesce(1)
+        tried = [i for i, x in enumerate(settings) if gamma(x) == g]
+        maps = [{estimator.regParam: penalty(settings[i], n)} for i in tried]
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=scorer, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED).fit(mapped)
+        metrics.update(zip(tried, cv.avgMetrics, strict=True))
+    best = max(metrics, key=lambda i: (metrics[i], -i))
+    chosen = {estimator.regParam: penalty(settings[best], rows.count()), kernel.gamma: gamma(settings[best])}
+    return _pipeline(candidate, estimator, kernel).fit(rows, chosen), float(metrics[best]), settings[best]
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` and ``p_approved``; a margin model's score passes a sigmoid."""
     scored = model.transform(df)

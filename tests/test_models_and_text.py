@@ -73,7 +73,7 @@ def test_registered_queries_search_all_draws_folds_and_models(spark, monkeypatch
     monkeypatch.setattr(registered, "frame", lambda s: rows)
     monkeypatch.setattr(registered, "F", SimpleNamespace(col=lambda name: False))
     assert sorted(registered._leaderboard(None)) == sorted(grids)
-    assert searched == {n: (d, 5, True, True) for n, d in {"logistic_regression": 1, "random_forest": 20, "boosted_trees": 30, "linear_svc": 15, "boosted_trees_leafy": 30}.items()}
+    assert searched == {n: (d, 5, True, True) for n, d in {"logistic_regression": 1, "random_forest": 20, "boosted_trees": 30, "kernel_svc": 15, "boosted_trees_leafy": 30}.items()}
 
 
 def pack(text, limit, overlap):
