@@ -31,11 +31,11 @@ def test_a_ring_needs_the_kernel_and_the_model_is_stored(spark, tmp_path):
         rows.append((f"c{i}", *map(float, values), float(inside), 1.0, i % 5))
     df = spark.createDataFrame(rows, ["claim_id", *fixed.FEATURES, "label", "weight", "fold"]).withColumn("fold", F.col("fold").cast("int"))
     by_name = {c.name: c for c in models.candidates()}
-    kernel = by_name["kernel_svc"]
+    kernel = models.kernel_margin()
     assert len(models.draws(kernel.grid, 15)) == 15
     kernel.grid = {"C": [100.0], "gamma": ["scale", 0.1]}
     model, f1, params = models._kernel_fit(kernel, df, 2, 5, 2)
-    linear = models._pipeline(models.linear_margin(), LinearSVC(featuresCol="features", labelCol="label", regParam=0.001)).fit(df)
+    linear = models._pipeline(by_name["linear_svc"], LinearSVC(featuresCol="features", labelCol="label", regParam=0.001)).fit(df)
     right = lambda m: models.predict(m, df).where("prediction = label").count() / len(rows)
     assert right(model) > 0.9 > 0.75 > right(linear) and f1 > 0.85
     model.write().save(str(tmp_path / "m"))
