@@ -1,7 +1,5 @@
 """Plans and figures that must not grow faster than the tables."""
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from claimloom.operators import policy_text
@@ -13,3 +11,16 @@ def test_phrase_vector_searches_the_text_once(spark):
     vectors = df.select(policy_text.phrase_vector(F.col("text")).alias("v"))
     assert "array_contains(lambda" in vectors._jdf.queryExecution().optimizedPlan().toString()
     assert [[i for i, x in enumerate(r.v) if x] for r in vectors.collect()] == [[3, 7], [383]]
+
+
+def test_dimensions_join_by_their_measured_size(spark, tmp_path):
+    spark.range(20000).selectExpr("id AS s_suppkey", "uuid() AS s_name", "cast(id % 25 AS int) AS s_nationkey", "rand() AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "uuid() AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(5).selectExpr("cast(id AS int) AS r_regionkey", "concat('region', id) AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(200000).selectExpr(
+        "id AS l_orderkey", "id % 977 AS l_partkey", "id % 100 AS l_suppkey", "cast(rand() * 1000 AS double) AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = ClaimStar(spark, str(tmp_path))
+    threshold = 10 << 20
+    for dim, rows in ((made.providers, 20000), (made.cost, 58)):
+        assert int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < threshold
+        assert 0 < dim.count() <= rows
