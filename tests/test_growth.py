@@ -1,8 +1,10 @@
 """Plans and figures that must not grow faster than the tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from claimloom.operators import policy_text
+from claimloom.functions import fixed_values as fixed
+from claimloom.operators import models, policy_text
 from claimloom.sources.star import ClaimStar
 
 
@@ -24,3 +26,19 @@ def test_dimensions_join_by_their_measured_size(spark, tmp_path):
     for dim, rows in ((made.providers, 20000), (made.cost, 58)):
         assert int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < threshold
         assert 0 < dim.count() <= rows
+
+
+def test_tabled_contributions_equal_those_of_single_leaves():
+    rng = np.random.default_rng(3)
+    leaves = []
+    for _ in range(40):
+        chosen = rng.choice(len(fixed.FEATURES), rng.integers(1, 6), replace=False)
+        low = rng.uniform(-1, 0, len(chosen))
+        leaves.append((rng.normal(), {int(f): (a, a + 1, s) for f, a, s in zip(chosen, low, rng.uniform(0.1, 0.9, len(chosen)))}))
+    x = rng.normal(size=(50, len(fixed.FEATURES)))
+    want, got = np.zeros_like(x), np.zeros_like(x)
+    for value, bounds in leaves:
+        models.shapley_of_leaf(x, value, bounds, want)
+    for table in models._leaf_tables(leaves):
+        models.shapley_by_pattern(x, *models.pattern_table(*table), got)
+    assert np.allclose(got, want, atol=1e-12)
