@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from claimloom.functions import fixed_values as fixed
-from claimloom.operators import models, policy_text
+from claimloom.operators import extract, history, models, policy_text
 from claimloom.sources.star import ClaimStar
 
 
@@ -42,3 +42,21 @@ def test_tabled_contributions_equal_those_of_single_leaves():
     for table in models._leaf_tables(leaves):
         models.shapley_by_pattern(x, *models.pattern_table(*table), got)
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_fields_search_the_text_once_for_each_pattern(spark):
+    df = spark.createDataFrame([("Claim ID: C1234\nDate: 3/4/2001",)], "text string")
+    found = extract.extract_fields(df)
+    assert found.columns == ["text", "extracted"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract(") <= sum(len(patterns) for _, patterns in fixed.FIELD_PATTERNS.values())
+    row = found.first().extracted
+    assert (row.claim_id.value, row.date.value, row.policy_id.value) == ("C1234", "2001-03-04", None)
+
+
+def test_duplicate_flags_meet_on_short_keys(spark):
+    columns = ["claim_id", "submitted_by", "row_key", *history.COMPARED]
+    df = spark.createDataFrame([("C1", "a", "1", *"bcdefgh"), ("C2", "a", "2", *"bcdefgh"), ("C1", "a", "3", *"bcdefgx")], columns)
+    flagged = history.with_duplicate_flags(df)
+    assert "unhex(sha2(" in flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.row_key: (r.copies, r.versions) for r in flagged.collect()} == {"1": (2, 2), "2": (2, 1), "3": (1, 2)}
