@@ -21,3 +21,14 @@ def test_scoring_methods_stay_small_enough_for_the_jvm(spark, star):
         assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_logs_look_up_the_action_before_the_json(star, monkeypatch):
+    from claimloom.operators import history
+    from claimloom.plans.catalog import sources
+
+    seen = []
+    found = history.audit_actions
+    monkeypatch.setattr(history, "audit_actions", lambda new, *rest: seen.append(new.columns) or found(new, *rest))
+    rows = sources._logs(star).collect()
+    assert "full_response" not in seen[0] and sum(r["events"] for r in rows) == star.claims.count()
