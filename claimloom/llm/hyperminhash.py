@@ -12,7 +12,7 @@ bucket, so that two texts' registers agree with the probability of their Jaccard
 3. Where the sets of a pivot aren't all connected by then, two others than the pivot may be linked. They are looked up by the rarest shingles in
    which they differ from the pivot (see ``_looked_up``): not all pairs are formed. Pairs found are estimated and confirmed like the others.
 
-Equal sets are one set. A pivot is sent to its sets' tasks once for each salt.
+Equal sets are one set. A pivot is sent to its sets once for every PER_SALT of them.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ BANDS, WIDTH = 32, 6
 MARGIN = 0.2
 #: Rows whose texts are in memory as Python objects at once.
 ROWS = 1000
-#: Parts in which the sets of a large pivot meet it.
-SALTS = 1024
+#: Sets that meet their pivot in one part, on average; a pivot of more has several parts.
+PER_SALT = 256
 #: Ids are put in so many slots to keep texts that no set needs from being shuffled; the join by id is exact.
 SLOTS = 1 << 20
 
@@ -142,12 +142,26 @@ def banded_pairs(sets: DataFrame) -> DataFrame:
     return written(pairs.groupBy("a", "b").agg(F.max("count").alias("count")), "pairs")
 
 
+def salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with the part (salt) in which each meets its b, and b and salt of all parts; the large b are one in PER_SALT pairs at most."""
+    parts = F.ceil(F.col("rows") / PER_SALT)
+    counts = pairs.groupBy("b").agg(F.count("*").alias("rows")).select("b", parts.alias("parts"))
+    large = F.broadcast(counts.where("parts > 1"))
+    dealt = pairs.join(large, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    return dealt, counts
+
+
+def _sent(table: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows of ``table`` (key b), once for each part."""
+    return counts.join(table, "b", how).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+
+
 def beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs`` with the columns of both sides (named _a and _b); many pairs may have one b."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    right = salted.select("b", "salt").distinct().join(table.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
+    dealt, counts = salted(pairs)
+    right = _sent(table.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), counts)
     left = table.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    return salted.join(right, ["b", "salt"]).drop("salt").join(left, "a")
+    return dealt.join(right, ["b", "salt"]).drop("salt").join(left, "a")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int, margin: float = MARGIN) -> DataFrame:
@@ -195,12 +209,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def _connected(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """``pairs`` with the components ca and cb that ``links`` make of their sets."""
     found = written(components(links, "a", "b"), "found")
-    named = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
     # many pairs may have one b: pivots are few, their components are looked up apart
-    pivots = pairs.select("b").distinct().join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    named = named.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    salted = named.select("b", "salt").distinct().join(pivots, "b")
-    return named.join(salted, ["b", "salt"]).drop("salt").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    dealt, counts = salted(pairs)
+    pivots = _sent(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), counts, "left")
+    named = dealt.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    return named.join(pivots, ["b", "salt"]).drop("salt").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
 
 
 def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +222,8 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     D is what a set has apart from its pivot p, either way; q and r are 100 less and plus ``percent``. Linked sets x and y differ in at most
     q / r of their sizes' sum, so of D(x) all but q / percent * n(x) elements are in D(y). x is not linked with p (if both were, they would be
     connected), therefore more than half of ``|D(y)| + q / r * (n(p) - n(y))`` are common too. With so many in common, the rarest of D(x) and of D(y), as many as
-    are left and one more, have one in common.
+    are left and one more, have one in common. The two together need ``(|D(x)| + |D(y)| - q / r * (n(x) + n(y))) / 2`` in common, and of these none comes before the
+    first that is found: as many must be left of either, from there on.
     """
     q, r = 100 - percent, 100 + percent
     named = written(_connected(pairs.select("a", "b"), links), "named")
@@ -230,16 +244,19 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     def side(which: DataFrame, common: Column, asks: bool) -> DataFrame:
         # what no other set of the pivot has comes first in order, and can't meet
         taken = F.greatest(F.lit(0), d - F.greatest(F.lit(1), common) + 1 - (d - F.size("t"))).cast("int")
-        return which.select("a", "b", "c", "na", d.alias("d"), F.lit(asks).alias("asks"), F.explode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("token"))
+        rarest = F.posexplode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("place", "token")
+        given = which.select("a", "b", "c", "na", d.alias("d"), F.lit(asks).alias("asks"), F.size("t").alias("size"), rarest)
+        return given.withColumn("left", F.col("size") - F.col("place")).drop("size", "place")
 
     asking = side(keyed.where("NOT linked"), d - F.floor(q * F.col("na") / percent), True)
     keyed = written(asking.unionByName(side(keyed, F.floor((r * d + q * (F.col("nb") - F.col("na"))) / (2 * r)) + 1, False)), "keyed")
     several = keyed.groupBy("b", "token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b", "token")
     met = written(keyed.join(several, ["b", "token"], "left_semi"), "met")
-    right = met.where("NOT asks").select("b", "token", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("d").alias("dy"))
+    right = met.where("NOT asks").select("b", "token", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("left").alias("left_y"))
     # linked sets are of like size, and as far from the pivot but for what they differ in
     alike = f"100 * na >= {percent} * ny AND 100 * ny >= {percent} * na AND abs(d - dy) * {r} <= {q} * (na + ny)"
-    both = met.where("asks").join(right, ["b", "token"]).where(f"c <> cy AND {alike}")
+    enough = f"2 * {r} * least(left, left_y) >= {r} * (d + dy) - {q} * (na + ny)"
+    both = met.where("asks").join(right, ["b", "token"]).where(f"c <> cy AND {alike} AND {enough}")
     return written(both.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "looked_up")
 
 

@@ -117,3 +117,32 @@ def test_rows_without_id_repeated_rows_other_columns_and_an_empty_table(spark):
     want = [(5, 8, 5, True), (5, 8, 5, True), (None, 8, None, True), (7, 8, 5, False), (8, 0, 8, True), (None, 0, None, True), (9, 0, 9, True)]
     assert got == sorted(want, key=str)
     assert hyperminhash.deduplicated(docs.where("false"), "doc_id", "text").count() == 0
+
+
+def test_a_pivot_is_sent_once_for_every_part_of_its_sets_and_all_pairs_meet_it(spark):
+    per = hyperminhash.PER_SALT
+    pairs = spark.createDataFrame([(i, 1_000_000) for i in range(2 * per + 5)] + [(i, 2_000_000 + i) for i in range(40)], "a bigint, b bigint")
+    _, counts = hyperminhash.salted(pairs)
+    keys = [(i, f"x{i}") for i in [*range(2 * per + 5), 1_000_000, *range(2_000_000, 2_000_040)]]
+    table = spark.createDataFrame(keys, "key bigint, name string")
+    sent = hyperminhash._sent(table.withColumnRenamed("key", "b"), counts).groupBy("b").count().collect()
+    assert {r.b: r["count"] for r in sent} == {1_000_000: 3, **{2_000_000 + i: 1 for i in range(40)}}
+    met = {(r.a, r.b, r.name_a, r.name_b) for r in hyperminhash.beside(pairs, table, ["name"]).collect()}
+    assert met == {(r.a, r.b, f"x{r.a}", f"x{r.b}") for r in pairs.collect()}
+
+
+def test_unlike_sets_of_one_pivot_are_not_compared_for_the_one_difference_they_share(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    words = [f"w{i}" for i in range(120)]
+    rows.append(" ".join(words))
+    for k in range(60):  # each replaces a stretch of its own; few of the others' edits are the same
+        edited, at = words[:], rng.randrange(5, 90)
+        edited[at : at + 12] = [f"n{k}_{i}" for i in range(12)]
+        edited[2] = "same"
+        rows.append(" ".join(edited))
+    seen, kept = {}, hyperminhash.written
+    monkeypatch.setattr(hyperminhash, "written", lambda df, name: seen.setdefault(name, []).append(out := kept(df, name)) or out)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in hyperminhash.deduplicated(docs, "doc_id", "text", 5, 85).collect()}
+    assert got == dict(enumerate(_components([_shingles(t, 5) for t in rows], 85)))
+    assert seen["looked_up"][0].count() < 60
