@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.bytescan import Words, blocks, encoded, mix, shingles, spaced
-from claimloom.llm.components import components
+from claimloom.llm.components import stars, with_roots
 from claimloom.sources.scratch import written
 
 REGISTERS, MANTISSA = 192, 10
@@ -206,18 +206,17 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return written(rows.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
 
 
-def _connected(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``pairs`` with the components ca and cb that ``links`` make of their sets."""
-    found = written(components(links, "a", "b"), "found")
+def _connected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` with the components ca and cb of their sets, from the stars ``found``."""
     # many pairs may have one b: pivots are few, their components are looked up apart
     dealt, counts = salted(pairs)
-    pivots = _sent(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), counts, "left")
-    named = dealt.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    pivots = _sent(found.select(F.col("a").alias("b"), F.col("b").alias("cb")), counts, "left")
+    named = dealt.join(found.select("a", F.col("b").alias("ca")), "a", "left")
     return named.join(pivots, ["b", "salt"]).drop("salt").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
 
 
-def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a pivot, aren't connected by ``links``, and may be linked.
+def _looked_up(pairs: DataFrame, found: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share a pivot, aren't connected by the stars ``found``, and may be linked.
 
     D is what a set has apart from its pivot p, either way; q and r are 100 less and plus ``percent``. Linked sets x and y differ in at most
     q / r of their sizes' sum, so of D(x) all but q / percent * n(x) elements are in D(y). x is not linked with p (if both were, they would be
@@ -226,10 +225,10 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     first that is found: as many must be left of either, from there on.
     """
     q, r = 100 - percent, 100 + percent
-    named = written(_connected(pairs.select("a", "b"), links), "named")
+    named = written(_connected(pairs.select("a", "b"), found), "named")
     # a pivot's sets in several components, not counting the pivot itself
     mixed = named.groupBy("b").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x <> y").select("b")
-    among = written(named.join(mixed, "b", "left_semi").select("a", "b", F.col("ca").alias("c")), "mixed")
+    among = named.join(mixed, "b", "left_semi").select("a", "b", F.col("ca").alias("c"))
     apart = F.concat(F.array_except("tokens_a", "tokens_b"), F.array_except("tokens_b", "tokens_a"))
     rows = beside(among, full, ["tokens"]).select("a", "b", "c", F.size("tokens_a").alias("na"), F.size("tokens_b").alias("nb"), apart.alias("apart"))
     # similar: 100 * common >= percent * union, where union - common = |D|
@@ -239,17 +238,15 @@ def _looked_up(pairs: DataFrame, links: DataFrame, full: DataFrame, percent: int
     counts = elements.groupBy("b", "token").count().where("count > 1")
     lists = elements.join(counts, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("t"))
     d = F.size("apart").cast("long")
-    keyed = rows.join(lists, ["a", "b"])
-
-    def side(which: DataFrame, common: Column, asks: bool) -> DataFrame:
-        # what no other set of the pivot has comes first in order, and can't meet
-        taken = F.greatest(F.lit(0), d - F.greatest(F.lit(1), common) + 1 - (d - F.size("t"))).cast("int")
-        rarest = F.posexplode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("place", "token")
-        given = which.select("a", "b", "c", "na", d.alias("d"), F.lit(asks).alias("asks"), F.size("t").alias("size"), rarest)
-        return given.withColumn("left", F.col("size") - F.col("place")).drop("size", "place")
-
-    asking = side(keyed.where("NOT linked"), d - F.floor(q * F.col("na") / percent), True)
-    keyed = written(asking.unionByName(side(keyed, F.floor((r * d + q * (F.col("nb") - F.col("na"))) / (2 * r)) + 1, False)), "keyed")
+    # every set offers its elements; one that isn't linked with the pivot asks with its own
+    asking = F.struct(F.lit(True).alias("asks"), (d - F.floor(q * F.col("na") / percent)).cast("long").alias("common"))
+    offering = F.struct(F.lit(False).alias("asks"), (F.floor((r * d + q * (F.col("nb") - F.col("na"))) / (2 * r)) + 1).cast("long").alias("common"))
+    sides = rows.join(lists, ["a", "b"]).withColumn("side", F.explode(F.when(F.col("linked"), F.array(offering)).otherwise(F.array(asking, offering))))
+    # what no other set of the pivot has comes first in order, and can't meet
+    taken = F.greatest(F.lit(0), d - F.greatest(F.lit(1), F.col("side.common")) + 1 - (d - F.size("t"))).cast("int")
+    rarest = F.posexplode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), taken)).alias("place", "token")
+    given = sides.select("a", "b", "c", "na", d.alias("d"), "side.asks", F.size("t").alias("size"), rarest)
+    keyed = written(given.withColumn("left", F.col("size") - F.col("place")).drop("size", "place"), "keyed")
     several = keyed.groupBy("b", "token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("b", "token")
     met = written(keyed.join(several, ["b", "token"], "left_semi"), "met")
     right = met.where("NOT asks").select("b", "token", F.col("a").alias("y"), F.col("c").alias("cy"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("left").alias("left_y"))
@@ -266,11 +263,12 @@ def linked(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFra
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
     full = written(_shingled(docs, sets.select("key", "id").join(wanted, "key", "left_semi"), size), "full")
     closest = written(pairs.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", "m.b"), "closest")
-    links = _confirmed(written(likely(closest, sets, percent), "likely"), full, percent)
-    rest = _connected(pairs.select("a", "b"), links).where("ca <> cb").select("a", "b").join(closest, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(written(likely(written(rest, "rest"), sets, percent), "likely"), full, percent))
-    more = _looked_up(pairs, links, full, percent)
-    return links.unionByName(_confirmed(written(likely(more, sets, percent), "likely"), full, percent))
+    found = stars(_confirmed(written(likely(closest, sets, percent), "likely"), full, percent))
+    rest = _connected(pairs.select("a", "b"), found).where("ca <> cb").select("a", "b").join(closest, ["a", "b"], "left_anti")
+    # links found later are added to the stars of the earlier ones: these connect the same sets
+    found = stars(found.unionByName(_confirmed(written(likely(written(rest, "rest"), sets, percent), "likely"), full, percent)))
+    more = _looked_up(pairs, found, full, percent)
+    return found.unionByName(_confirmed(written(likely(more, sets, percent), "likely"), full, percent))
 
 
 def deduplicated(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent: int = 85) -> DataFrame:
@@ -283,8 +281,8 @@ def deduplicated(docs: DataFrame, doc_id: str, text: str, size: int = 5, percent
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = written(sketched(rows, size, percent), "signatures")
-    links = written(linked(rows, distinct_sets(signed), size, percent), "links")
-    return in_classes(signed, components(links, "a", "b")).select(
+    found = stars(linked(rows, distinct_sets(signed), size, percent))
+    return in_classes(signed, with_roots(found)).select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 

@@ -134,9 +134,12 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     first = groups.where("id IS NOT NULL").groupBy("id").agg(F.min("group").alias("group"))
     named = rows.where("id IS NOT NULL").join(first, "id", "left")
     loose = rows.where("id IS NULL")
-    # the group of an equal text, for the few hashes that rows without an id have
-    equal = named.join(loose.select("cluster").distinct(), "cluster", "left_semi").groupBy("cluster").agg(F.min("group").alias("group"))
-    both = named.unionByName(loose.join(equal, "cluster", "left"))
+    if loose.isEmpty():
+        both = named
+    else:
+        # the group of an equal text, for the few hashes that rows without an id have
+        equal = named.join(loose.select("cluster").distinct(), "cluster", "left_semi").groupBy("cluster").agg(F.min("group").alias("group"))
+        both = named.unionByName(loose.join(equal, "cluster", "left"))
     cluster = F.when(F.col("group").isNull() | F.col("cluster").isNull(), F.col("cluster")).otherwise(F.xxhash64("group", F.lit("group")))
     return both.select("id", "size", "source", cluster.alias("cluster"))
 
